@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from statloom.llm import quality_rules
 from statloom.llm.mixing import op5_mixing
+from statloom.llm.quality_rules import op8_quality_rules
 
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_quality_rules": quality_rules.SQL,
+}
