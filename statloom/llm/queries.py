@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from statloom.llm import quality_rules
+from statloom.llm import decontamination, quality_rules
+from statloom.llm.decontamination import op6_decontamination
 from statloom.llm.mixing import op5_mixing
 from statloom.llm.quality_rules import op8_quality_rules
 
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
     "op8_quality_rules": op8_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_decontamination": decontamination.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
