@@ -1,0 +1,288 @@
+"""Surrogates for personal data: every detected entity gets a keyed replacement of its own kind.
+
+Entities are e-mail addresses, IPv4 addresses, telephone numbers, payment cards (Luhn-valid), IBANs, social security numbers,
+secrets (long hexadecimal or quoted keys) and persons after a title. A surrogate keeps the format: letters stand for letters of
+the same case and script, digits for digits, whatever stands between stays; cards stay Luhn-valid, octets stay octets, a
+person's given name stays of the gender that the title tells and of its script.
+
+Except for names, replacement is a keyed bijection on strings of one shape (two passes that shift each character by a hash of
+all before, then of all behind), so that different entities have different surrogates and one entity the same one everywhere.
+Names are drawn from syllables by a keyed hash; two names may then meet. `surrogates` holds every distinct entity of the corpus
+with its surrogate and checks all of them: within a kind no two share a surrogate and none is another's original; whoever
+clashes is drawn anew. The few drawn anew reach the texts by a join of documents with such an entity; all others are made in
+place, by one pass over the text, without a shuffle. Only SQL expressions are used.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from statloom.llm.common import table, written
+
+KEY = "statloom surrogates"
+#: The kinds of a person's names.
+NAMES = ("male", "female", "last")
+#: How often a clashing surrogate is drawn anew before the job gives up with an error.
+MOST_DRAWS = 50
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "M", "Sir", "Lord", "Г-н", "Господин")
+_FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Srta", "Madame", "Mme", "Mademoiselle", "Mlle", "Lady", "Г-жа", "Госпожа")
+_EITHER = ("Dr", "Prof", "Professor")
+_TITLES = "|".join(sorted((*_MALE, *_FEMALE, *_EITHER), key=lambda t: (-len(t), t)))
+#: kind -> pattern; the first that matches at a place counts. Groups are not captured.
+PATTERNS: dict[str, str] = {
+    "email": r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])|(?<=(?:token|secret|key|password) ?[=:] ?\")[A-Za-z0-9_/+=.-]{8,}(?=\")|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\d-])|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
+}
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A text without any of these has no entity: a cheap test before the patterns.
+HINT = rf"@|\d[ -]?\d[ -]?\d|\d\.\d|[0-9a-fA-F]{{32}}|[=:] ?\"|AKIA|sk-|gh[pousr]_|(?:{_TITLES})\.? \p{{Lu}}"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CYRILLIC = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
+_GREEK = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+
+
+def kind_of(entity: Column) -> Column:
+    """The kind of a whole matched string; null for numbers that are no cards."""
+    out = None
+    for kind, pattern in PATTERNS.items():
+        ok = entity.rlike(rf"^(?:{pattern})$") if kind != "secret" else entity.rlike(r"^[A-Za-z0-9_/+=.-]{8,}$") & ~entity.rlike(r"^[\d.+-]+$")
+        if kind == "card":
+            ok = ok & luhn(entity)
+        out = F.when(ok, F.lit(kind)) if out is None else out.when(ok, F.lit(kind))
+    return out
+
+
+def luhn(number: Column) -> Column:
+    return F.call_function("luhn_check", F.regexp_replace(number, "[ -]", ""))
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _number(digest: Column, at: int | Column, n: int | Column) -> Column:
+    """A number from 0 to n - 1 out of six hexadecimal digits of a digest."""
+    return F.pmod(F.conv(F.substr(digest, F.lit(at) if isinstance(at, int) else at, F.lit(6)), 16, 10).cast("int"), F.lit(n) if isinstance(n, int) else n)
+
+
+def _digest(*parts: Column | str) -> Column:
+    return F.sha2(F.concat_ws("\x00", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)
+
+
+#: All alphabets in a row, and where each begins (from 1) and its size.
+_ALPHABETS = ["0123456789", _UPPER, _UPPER.lower(), _CYRILLIC, _CYRILLIC.lower(), _GREEK, _GREEK.lower()]
+_ALL = "".join(_ALPHABETS)
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _shift(c: Column, digest: Column, hexadecimal: Column) -> Column:
+    """c moved within its alphabet by the digest; other characters stay."""
+
+    def moved(at: Column) -> Column:
+        begin, first, length = None, 1, None
+        for letters in _ALPHABETS:
+            here = at < first + len(letters)
+            begin = F.when(here, F.lit(first)) if begin is None else begin.when(here, F.lit(first))
+            length = F.when(here, F.lit(len(letters))) if length is None else length.when(here, F.lit(len(letters)))
+            first += len(letters)
+        usual = let(F.struct(begin.alias("b"), length.alias("l")), lambda z: F.substr(F.lit(_ALL), z["b"] + F.pmod(at - z["b"] + _number(digest, 1, z["l"]), z["l"]), F.lit(1)))
+        return F.when(at == 0, c).otherwise(usual)
+
+    sixteen = "0123456789abcdef"
+    return F.when(hexadecimal, F.substr(F.lit(sixteen), F.pmod(F.instr(F.lit(sixteen), c) - 1 + _number(digest, 1, 16), F.lit(16)) + 1, F.lit(1))).otherwise(let(F.instr(F.lit(_ALL), c), moved))
+
+
+_PASSES = ("forward", "back", "again")
+
+
+def permuted(text: Column, key: str, kind: Column) -> Column:
+    """A keyed bijection of strings of one shape: which characters are letters of which script and case, digits, or others."""
+
+    def one(now: Column, label: Column) -> Column:
+        hexadecimal = now.rlike("^[0-9a-f]{32,}$")
+        return F.reverse(F.array_join(F.transform(_characters(now), lambda c, i: _shift(c, _digest(key, label, kind, F.length(now).cast("string"), F.substr(now, F.lit(1), i)), hexadecimal)), ""))
+
+    return F.reverse(F.aggregate(F.array(*[F.lit(p) for p in _PASSES]), text, one))
+
+
+def _octets(ip: Column, key: str) -> Column:
+    def one(now: Column, label: Column) -> Column:
+        return F.reverse(F.transform(now, lambda x, i: F.pmod(x + _number(_digest(key, label, "ip", F.array_join(F.slice(now, F.lit(1), i).cast("array<string>"), ".")), 1, 256), F.lit(256))))
+
+    return F.array_join(F.reverse(F.aggregate(F.array(*[F.lit(p) for p in _PASSES]), F.split(ip, r"\.").cast("array<int>"), one)).cast("array<string>"), ".")
+
+
+def _card(number: Column, body: Column) -> Column:
+    """The digits of body and one more, which makes them Luhn-valid, laid where number has digits; its separators stay."""
+    check = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda x: F.call_function("luhn_check", x)), F.lit(0))
+
+    def laid(new: Column) -> Column:
+        return F.array_join(F.transform(_characters(number), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, F.length(F.regexp_replace(F.substr(number, F.lit(1), i), "[ -]", "")) + 1, F.lit(1))).otherwise(c)), "")
+
+    return let(check, laid)
+
+
+_ONSETS = {"latin": ["b", "br", "c", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w"], "cyrillic": ["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х"]}
+_VOWELS = {"latin": ["a", "e", "i", "o", "u"], "cyrillic": ["а", "е", "и", "о", "у"]}
+_ENDS = {
+    "latin": {"male": ["an", "en", "in", "on", "er", "us"], "female": ["a", "ia", "ina", "elle", "ette"], "last": ["man", "son", "ford", "berg", "ley", "er", "et", "ez"]},
+    "cyrillic": {"male": ["ан", "ий", "ор", "ей"], "female": ["а", "ия", "ина"], "last": ["ов", "ин", "ский", "енко"]},
+}
+
+
+def _name(word: Column, role: Column, key: str, draw: Column) -> Column:
+    """A name for a name: of its script, role (male, female or last) and capitals; three syllables, a consonant and an ending."""
+
+    def made(digest: Column) -> Column:
+        def pick(values: list[str], k: int) -> Column:
+            return F.get(F.array(*[F.lit(v) for v in values]), _number(digest, 7 * k + 1, len(values)))
+
+        def of(script: str) -> Column:
+            stem = [pick((_ONSETS, _VOWELS)[k % 2][script], k) for k in range(7)]
+            ends = _ENDS[script]
+            return F.concat(*stem, F.when(role == "male", pick(ends["male"], 7)).when(role == "female", pick(ends["female"], 7)).otherwise(pick(ends["last"], 7)))
+
+        return F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+
+    lower = let(_digest(key, F.lower(word), role, draw.cast("string")), made)
+    return let(lower, lambda x: F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(x)).otherwise(F.initcap(x)))
+
+
+def gender(title: Column) -> Column:
+    bare = F.regexp_replace(title, r"\.$", "")
+    return F.when(bare.isin(*_MALE), F.lit("male")).when(bare.isin(*_FEMALE), F.lit("female")).otherwise(F.when(F.pmod(F.crc32(title), F.lit(2)) == 0, F.lit("male")).otherwise(F.lit("female")))
+
+
+def parts_of(kind: Column, entity: Column) -> Column:
+    """What has a surrogate of its own in an entity, as (kind, value): itself, or each name of a person."""
+    words = F.split(entity, " ")
+    names = F.slice(words, F.lit(2), F.size(words))
+    role = lambda i: F.when(i == F.size(names) - 1, F.lit("last")).otherwise(gender(F.get(words, F.lit(0))))
+    return F.when(kind == "person", F.transform(names, lambda w, i: F.struct(role(i).alias("kind"), w.alias("value")))).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("value"))))
+
+
+_TAIL = r"\.[^.]*$"
+_CODE = r"^(?:\+\d+)?"
+
+
+def bijective(kind: Column, value: Column, key: str) -> Column:
+    """The surrogate of a part that is no name: what tells its kind stays (top-level domain, country code), the rest is permuted."""
+    digits = F.regexp_replace(value, "[ -]", "")
+    head = F.when(kind == "phone", F.regexp_extract(value, _CODE, 0)).when(kind == "iban", F.substring(value, 1, 2)).otherwise(F.lit(""))
+    tail = F.when(kind == "email", F.regexp_extract(value, _TAIL, 0)).otherwise(F.lit(""))
+    body = F.when(kind == "card", F.substr(digits, F.lit(1), F.length(digits) - 1)).otherwise(F.substr(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail)))
+    shown = let(permuted(body, key, F.concat_ws("|", kind, head, tail)), lambda x: F.when(kind == "card", _card(value, x)).otherwise(F.concat(head, x, tail)))
+    return F.when(kind == "ip", _octets(value, key)).otherwise(shown)
+
+
+def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Column:
+    """The surrogate of a part; draw counts the clashes it has had. A bijection is applied draw + 1 times, so that values of one draw stay apart."""
+    return F.when(kind.isin(*NAMES), _name(value, kind, key, draw)).otherwise(F.aggregate(F.sequence(F.lit(0), draw), value, lambda x, _: bijective(kind, x, key)))
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """docs with _found: the matched strings in order, and _between: the text around them; nulls where there is none."""
+    likely = F.col("text").rlike(HINT)
+    found = F.when(likely, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
+    return docs.withColumn("_found", found)
+
+
+def parts_table(docs: DataFrame) -> DataFrame:
+    """(kind, value, n): every distinct part of the corpus and how often it stands there."""
+    each = entities(docs.select("text")).select(F.explode("_found").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("k", kind_of(F.col("e"))).where(F.col("k").isNotNull())
+    parts = each.select("n", F.explode(parts_of(F.col("k"), F.col("e"))).alias("p")).select("p.kind", F.when(F.col("p.kind") == "email", F.lower("p.value")).when(F.col("p.kind").isin(*NAMES), F.initcap("p.value")).otherwise(F.col("p.value")).alias("value"), "n")
+    return parts.groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
+
+def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, value, n, draw, surrogate) of every part, checked: no two parts of a kind share a surrogate, none is a part's original.
+
+    Clashing parts but the least of each surrogate are drawn anew. Bijective kinds cannot clash with each other; where a
+    surrogate is another's original, the value is drawn again too: the bijection under another key, checked again.
+    """
+    now = written(parts_table(docs).withColumn("draw", F.lit(0)), "pii-parts")
+    for _ in range(MOST_DRAWS):
+        now = written(now.select("kind", "value", "n", "draw", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key).alias("surrogate")), "pii-surrogates")
+        group = F.when(F.col("kind").isin(*NAMES), F.lit("name")).otherwise(F.col("kind"))
+        keyed = now.withColumn("_g", group)
+        first = keyed.groupBy("_g", F.lower("surrogate").alias("_s")).agg(F.min(F.struct("kind", "value")).alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
+        real = keyed.select(F.col("_g").alias("_rg"), F.lower("value").alias("_r")).distinct()
+        shared = keyed.join(first.withColumnRenamed("_g", "_fg"), (F.col("_g") == F.col("_fg")) & (F.lower("surrogate") == F.col("_s"))).where(F.struct("kind", "value") != F.col("_first")).select("kind", "value")
+        taken = keyed.join(real, (F.col("_g") == F.col("_rg")) & (F.lower("surrogate") == F.col("_r"))).select("kind", "value")
+        clash = written(shared.unionByName(taken).distinct(), "pii-clashes")
+        if clash.isEmpty():
+            return now
+        c = clash.select(F.col("kind").alias("_ck"), F.col("value").alias("_cv"))
+        now = now.drop("surrogate").join(c, (F.col("kind") == F.col("_ck")) & (F.col("value") == F.col("_cv")), "left").withColumn("draw", F.col("draw") + F.col("_cv").isNotNull().cast("int")).drop("_ck", "_cv")
+    raise ValueError(f"surrogates still clash after {MOST_DRAWS} draws")
+
+
+def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) -> DataFrame:
+    """docs with text less its personal data and n_<kind> for each kind, n_entities. known: the result of surrogates().
+
+    Null text stays null and has no entities; rows that repeat get equal texts. Columns of other names are kept.
+    """
+    known = surrogates(docs, key) if known is None else known
+    again = written(known.where("draw > 0").select("kind", "value", "surrogate"), "pii-again")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    df = entities(docs)
+    kinds = F.transform("_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("k")))
+    df = df.withColumn("_kinds", kinds)
+    if again.isEmpty():
+        df = df.withColumn("_again", F.lit(None).cast("map<string,string>"))
+    else:
+        # documents with an entity drawn anew are told apart by their text; its own few surrogates come back as a map
+        a = again.select(F.col("kind").alias("_ak"), F.col("value").alias("_av"), "surrogate")
+        has = df.where("_found IS NOT NULL AND size(_found) > 0").select(F.xxhash64("text").alias("_th"), F.length("text").alias("_tl"), F.explode(F.array_distinct(F.flatten(F.transform(F.filter("_kinds", lambda x: x["k"].isNotNull()), lambda x: parts_of(x["k"], x["e"]))))).alias("p"))
+        hit = has.join(a, (F.col("p.kind") == F.col("_ak")) & (_canonical(F.col("p")) == F.col("_av"))).select("_th", "_tl", F.concat_ws("\x00", F.col("_ak"), F.col("_av")).alias("_of"), "surrogate").distinct()
+        maps = hit.groupBy("_th", "_tl").agg(F.map_from_entries(F.collect_list(F.struct("_of", "surrogate"))).alias("_again"))
+        df = df.join(maps.withColumnRenamed("_th", "_h").withColumnRenamed("_tl", "_l"), (F.xxhash64("text") == F.col("_h")) & (F.length("text") == F.col("_l")), "left").drop("_h", "_l")
+
+    def new(p: Column) -> Column:
+        value = _canonical(p)
+        usual = F.when(p["kind"].isin(*NAMES), _name(value, p["kind"], key, F.lit(0))).otherwise(bijective(p["kind"], value, key))
+        return F.coalesce(F.try_element_at("_again", F.concat_ws("\x00", p["kind"], value)), usual)
+
+    def cased(p: Column, s: Column) -> Column:
+        return F.when((p["value"] == F.upper(p["value"])) & (p["value"] != F.lower(p["value"])) & p["kind"].isin("email", *NAMES) & (F.length(p["value"]) > 1), F.upper(s)).otherwise(s)
+
+    def written_out(x: Column) -> Column:
+        shown = F.array_join(F.transform(parts_of(x["k"], x["e"]), lambda p: cased(p, new(p))), " ")
+        title = F.when(x["k"] == "person", F.concat(F.get(F.split(x["e"], " "), F.lit(0)), F.lit(" "))).otherwise(F.lit(""))
+        return F.when(x["k"].isNull(), x["e"]).otherwise(F.concat(title, shown))
+
+    fresh = F.transform("_kinds", written_out)
+    between = F.split("text", ANY, -1)
+    whole = F.transform(F.array(F.struct(fresh.alias("f"), between.alias("b"))), lambda z: F.array_join(F.transform(z["b"], lambda t, i: F.concat(t, F.coalesce(F.get(z["f"], i), F.lit("")))), ""))
+    some = F.exists("_kinds", lambda x: x["k"].isNotNull())
+    count = lambda kind: F.coalesce(F.size(F.filter("_kinds", lambda x: x["k"] == kind)), F.lit(0)).cast("long")
+    counts = {k: F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"n_{k}") for k in PATTERNS}
+    text = F.when(some, F.get(whole, F.lit(0))).otherwise(F.col("text"))
+    out = df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts.values())
+    return out.withColumn("n_entities", reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in PATTERNS]))
+
+
+def _canonical(p: Column) -> Column:
+    return F.when(p["kind"] == "email", F.lower(p["value"])).when(p["kind"].isin(*NAMES), F.initcap(p["value"])).otherwise(p["value"])
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts of entities and the text with surrogates, one row for each row of documents."""
+    done = replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_entities", *[f"n_{k}" for k in PATTERNS], "text")

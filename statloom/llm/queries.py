@@ -8,12 +8,16 @@ from statloom.llm.html_extract import op4_html_extract
 from statloom.llm.language_id import op10_language_id
 from statloom.llm.licenses import op9_license_scan
 from statloom.llm.line_dedup import op2_line_dedup
+from statloom.llm.minhash import op1_minhash_near_dedup
 from statloom.llm.mixing import op5_mixing
+from statloom.llm.pii import op3_pii_surrogates
 from statloom.llm.quality_classifier import op7_quality_classifier
 from statloom.llm.quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_html_extract": op4_html_extract,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
