@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from statloom.plans import descriptive, models, shapes
+from statloom.plans.define import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "descriptive", "models", "shapes"]
