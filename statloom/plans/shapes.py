@@ -52,12 +52,12 @@ c AS (SELECT least(floor((l_quantity - lx) / wx), 7)::BIGINT AS bx, least(floor(
 """
 
 
-@query(_JOINT + "SELECT bx, "by", count, round(count / sum(count) OVER (), 9) AS joint, round(sum(count) OVER (PARTITION BY bx) / sum(count) OVER (), 9) AS marginal_x, round(sum(count) OVER (PARTITION BY "by") / sum(count) OVER (), 9) AS marginal_y, round(count / sum(count) OVER (PARTITION BY bx), 9) AS y_given_x FROM c")
+@query(_JOINT + """SELECT bx, "by", count, round(count / sum(count) OVER (), 9) AS joint, round(sum(count) OVER (PARTITION BY bx) / sum(count) OVER (), 9) AS marginal_x, round(sum(count) OVER (PARTITION BY "by") / sum(count) OVER (), 9) AS marginal_y, round(count / sum(count) OVER (PARTITION BY bx), 9) AS y_given_x FROM c""")
 def joint_histogram(spark, sf):
     return rounded(H.joint_histogram(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 8, 6), "joint", "marginal_x", "marginal_y", "y_given_x", digits=9)
 
 
-@query(_JOINT + "SELECT gx AS bx, gy AS "by", (SELECT coalesce(sum(count), 0) FROM c WHERE c.bx <= gx AND c."by" <= gy)::BIGINT AS cum FROM (SELECT unnest(range(8)) AS gx), (SELECT unnest(range(6)) AS gy)")
+@query(_JOINT + """SELECT gx AS bx, gy AS "by", (SELECT coalesce(sum(count), 0) FROM c WHERE c.bx <= gx AND c."by" <= gy)::BIGINT AS cum FROM (SELECT unnest(range(8)) AS gx), (SELECT unnest(range(6)) AS gy)""")
 def joint_cumulative(spark, sf):
     cells = H.joint_histogram(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 8, 6).select("bx", "by", "count")
     return H.joint_cumulative(cells, 8, 6)
