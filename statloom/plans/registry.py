@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statloom.plans import descriptive, models, shapes
+from statloom.plans import descriptive, later, models, shapes
 from statloom.plans.define import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "descriptive", "models", "shapes"]
+__all__ = ["ORACLE", "QUERIES", "descriptive", "later", "models", "shapes"]
