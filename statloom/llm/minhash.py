@@ -316,7 +316,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             hub = ranked.where(F.col("k") <= hubs).select(F.col("b").alias("_b"), F.col("v").alias("h"), F.col("w").alias("hw"), F.col("s").alias("hs"), F.col("c").alias("hc"))
         hub = written(hub, "near-hubs")
         both = F.least("s", "hs")
-        can = (F.col("c") != F.col("hc")) & (both >= (least - SLACK) * (F.col("w") + F.col("hw") - both))
+        # hubs come first in the order, so this keeps every pair with a hub, and a pair of hubs once
+        later = F.struct((1 - F.col("hs") / F.col("hw")).alias("alone"), F.col("h").alias("v")) < order
+        can = later & (F.col("c") != F.col("hc")) & (both >= (least - SLACK) * (F.col("w") + F.col("hw") - both))
         # a pair that shares several buckets meets in the first of them, which stays open for it
         first = F.get("bands", (F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True) - 1).cast("int")) == F.col("b")
         same = F.aggregate(F.zip_with("sketch", "hsketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
