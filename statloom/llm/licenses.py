@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
-Known licence sentences have identifiers. A text is cut into sentences, each is normalised (lower case, letters and digits,
-one space between words) and mapped to its identifier; the sequence of identifiers of a text is matched against ordered
-rules. A rule matches where its sentences follow one another in the sequence; unknown sentences between them do not matter,
-known ones of another licence do.
+Known licence sentences have identifiers. A text is normalised (lower case, letters and digits, one mark between words) and
+searched for them: a sentence begins at the beginning of a line or behind the end of a sentence and ends likewise, and may be
+wrapped over any number of lines with comment marks or list labels before them. The sequence of identifiers of a text is
+matched against ordered rules. A rule matches where its sentences follow one another in the sequence; unknown sentences
+between them do not matter, known ones of another licence do.
 """
 
 from __future__ import annotations
@@ -93,12 +94,23 @@ def known() -> dict[str, str]:
     return found
 
 
+#: What may stand before the words of a line: comment marks and the label of a list item.
+LEAD = r"(?m)^[ \t]*(?:(?:[^a-z0-9\s(]+|dnl|rem|c)[ \t]+)?(?:\(?[0-9a-z]{1,3}\)[ \t]+)?"
+END = "\x01"
+
+
+def _marked(text: Column) -> Column:
+    """text in lower case with one mark between words: END behind a sentence, else a newline between lines, else a space."""
+    steps = [(END, " "), (TAG, "$1"), (LEAD, ""), (r"[.:;!?]\s+", END), (rf"[^a-z0-9\n{END}]+", " "), (r" ?\n[ \n]*", "\n"), (rf"[ \n]?{END}[ \n{END}]*", END)]
+    return reduce(lambda t, s: F.regexp_replace(t, *s), steps, F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))), F.lit(" \n")))
+
+
 def _ids(text: Column, sentences: dict[str, str]) -> Column:
-    """The identifiers of a text's sentences in order; a map lookup for each sentence, nothing is exploded."""
+    """The identifiers of a text's sentences in order; where one sentence begins another, the longer one counts. Nothing is exploded."""
     pairs = F.create_map(*[F.lit(x) for kv in sorted(sentences.items()) for x in kv])
-    cut = F.split(F.concat(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "$1"), F.lit(" ")), BREAK)
-    norm = F.transform(cut, lambda s: F.btrim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
-    return F.filter(F.transform(norm, lambda s: F.try_element_at(pairs, s)), lambda k: k.isNotNull())
+    any_ = "|".join(s.replace(" ", r"[ \n]") for s in sorted(sentences, key=lambda s: (-len(s), s)))
+    hits = F.regexp_extract_all(_marked(text), F.lit(rf"(?<=[\n{END}])(?:{any_})(?=[\n{END}])"), F.lit(0))
+    return F.transform(hits, lambda s: F.try_element_at(pairs, F.translate(s, "\n", " ")))
 
 
 #: Every known sentence has one of these words, so other texts need no cutting.
@@ -114,7 +126,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[s
     for s in sentences:
         if not any(a in s for a in ANCHORS):
             raise ValueError(f"no anchor in {s!r}")
-    likely = F.col("text").rlike("(?i)" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS))
+    likely = F.col("text").rlike("(?i)" + "|".join(a.replace(" ", r"[^a-z0-9]+(?:(?:dnl|rem|c|[0-9a-z]{1,3}\))[^a-z0-9]+)?") for a in ANCHORS))
     df = docs.withColumn("sentence_ids", F.when(likely, _ids(F.col("text"), sentences)).otherwise(F.array().cast("array<string>")))
     line = F.concat(F.lit(";"), F.array_join("sentence_ids", ";"), F.lit(";"))
     df = df.withColumn("_line", line)

@@ -176,6 +176,30 @@ def test_rules_and_licenses_on_odd_rows(odd, none):
     assert licenses.scan(odd).where("size(licenses) > 0").count() == 0
 
 
+def test_licenses_wrapped(spark):
+    def wrapped(names, mark="", width=60):
+        words = " ".join(licenses.SENTENCES[k][0] for k in names).split()
+        lines = [""]
+        for w in words:
+            lines = [*lines, w] if len(lines[-1]) + len(w) >= width else [*lines[:-1], f"{lines[-1]} {w}".strip()]
+        return "\n".join(mark + x for x in lines)
+
+    bsd = "\n\n".join(wrapped([k]).replace("\n", "\n   ") for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"))
+    texts = {
+        "MIT License\nCopyright (c) 2020 Somebody\n" + wrapped(["mit-grant", "mit-notice", "mit-warranty"]): "MIT",
+        wrapped(["isc-grant", "isc-warranty"], " * "): "ISC",
+        bsd: "BSD-3-Clause",
+        bsd.replace("\n\nRedistributions", "\n\n2. Redistributions").replace("\n\nNeither", "\n\n(c) Neither"): "BSD-3-Clause",
+        "/*\r\n" + wrapped(["gpl-free", "gpl-warranty"], ";; ").replace("\n", "\r\n") + "\r\n*/": "GPL-3.0",
+        wrapped(["gpl2-free", "gpl-warranty"], "dnl ", 30): "GPL-2.0",
+        "A title\nReleased under the MIT License\nAnother line": "MIT",
+        wrapped(["apache2-grant", "apache2-comply"], "# ", 48): "Apache-2.0",
+        wrapped(["mit-grant", "mit-notice", "mit-warranty"]).replace("free of charge", "for a fee"): "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, expected string")
+    assert [(r.text, ",".join(r.licenses)) for r in licenses.scan(df).collect()] == list(texts.items())
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
