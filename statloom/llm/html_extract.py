@@ -165,9 +165,11 @@ def learn(pages: list[str]) -> dict[str, float]:
 
 
 def weight(weights: dict[str, float], kind: str, key: str, n: int, explicit: bool) -> float:
-    """Score of a token: n words at their log-odds, a tag at minus a bounded cost."""
+    """Score of a token: n words at their log-odds, a tag at minus a bounded cost; nothing for left-out elements inside an explicit article."""
     k = key if explicit else key.rpartition("|")[0] + "|any"
     out = key.split("|")[1] == "out"
+    if out and explicit and key.endswith("main"):
+        return 0.0  # their blocks are cut out of the region later
     if kind == "w":
         w = weights.get(k, -2.0 if out else 1.0)
         return n * (min(w, -0.5) if out or explicit and key.endswith("free") else max(w, 0.3) if explicit else w)

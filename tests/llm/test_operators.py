@@ -127,6 +127,18 @@ def test_html(spark):
     assert html_extract.extract_pages(pages.limit(0), {}).count() == 0
 
 
+def test_html_with_boxes_in_the_article():
+    def words(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    lead, body, end, box = words("lead", 25), words("body", 200), words("end", 20), words("box", 80)
+    boxes = [f"<div class='advert'><p>{box}</p></div>", f"<aside><ul><li>{box}</li></ul></aside>", f"<form id='newsletter'><label>{box}</label></form>", f"<div class='share'>{box}</div>"]
+    for one in boxes:
+        page = f"<body><nav>{box}</nav><article><h1>A title</h1><p>{lead}</p>{one}<p>{body}</p>{one}<p>{end}</p></article><footer>{box}</footer></body>"
+        for weights in ({}, html_extract.learn([page] * 3)):
+            assert html_extract.extract(page, weights) == "\n\n".join(["A title", lead, body, end])
+
+
 def test_mixing(spark, odd, none):
     rows = QUERIES["op5_mixing"](spark, DATA).collect()
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
