@@ -1,7 +1,7 @@
 """Surrogates for personal data: every detected entity gets a keyed replacement of its own kind.
 
-Entities are e-mail addresses, IPv4 addresses, telephone numbers, payment cards (Luhn-valid), IBANs, social security numbers,
-secrets (long hexadecimal or quoted keys) and persons after a title. A surrogate keeps the format: letters stand for letters of
+Entities are e-mail addresses, IP addresses, telephone numbers, payment cards (Luhn-valid), IBANs, social security numbers,
+secrets (long hexadecimal or quoted keys), persons after a title and, anywhere in the same text, their names without it. A surrogate keeps the format: letters stand for letters of
 the same case and script, digits for digits, whatever stands between stays; cards stay Luhn-valid, octets stay octets, a
 person's given name stays of the gender that the title tells and of its script.
 
@@ -29,24 +29,35 @@ NAMES = ("male", "female", "last")
 MOST_DRAWS = 50
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: National telephone numbers: 3-3-4, French pairs, German area codes and mobiles, Spanish groups, any digits after a word for telephone.
+_NATIONAL = (
+    r"(?<![\d.-])\d{3}\.\d{3}\.\d{4}(?![\d-])(?!\.\d)|(?<![\d.,-])(?<!\d )\d{3} \d{3} \d{4}(?![\d-])(?! \d)",
+    r"(?<![\w.,+/-])0[1-9](?:\d{8}|(?: \d{2}){4}|(?:\.\d{2}){4}|(?:-\d{2}){4})(?![\w-])(?!\.\d)",
+    r"(?<![\w.,+/-])(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}(?: ?[/-] ?| ))(?=(?:[ -]?\d){5})\d{2,8}(?:[ -]\d{1,5}){0,4}(?![\w-])|(?<![\w.,+/-])01[567]\d{8,9}(?![\w-])",
+    r"(?<![\w.,+/-])(?<!\d )(?:[6-9]\d{2}(?: \d{3}){2}|[6-9]\d{2}(?: \d{2}){3}|[89]\d \d{3} \d{2} \d{2})(?![\w-])(?! \d|[.,]\d)",
+    r"(?<=\b(?:[Tt]el|[Tt]eléfono|[Tt]éléphone|[Tt]elefon|[Tt]elephone|[Mm]óvil|[Hh]andy|[Mm]obile|[Pp]hone|[Ff]ax)[.:]{0,2} ?)\d{6,12}(?![\w-])",
+)
 _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "M", "Sir", "Lord", "Г-н", "Господин")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Srta", "Madame", "Mme", "Mademoiselle", "Mlle", "Lady", "Г-жа", "Госпожа")
+#: A name, without the 's of a genitive.
+_WORD = r"\p{Lu}(?:(?!'s?(?!\p{L}))[\p{L}'-])+"
 _EITHER = ("Dr", "Prof", "Professor")
 _TITLES = "|".join(sorted((*_MALE, *_FEMALE, *_EITHER), key=lambda t: (-len(t), t)))
 #: kind -> pattern; the first that matches at a place counts. Groups are not captured.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])|(?<=(?:token|secret|key|password) ?[=:] ?\")[A-Za-z0-9_/+=.-]{8,}(?=\")|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)|(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\d)[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])(?!\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\d-])|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\d-])|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?![\d-])|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|" + "|".join(_NATIONAL),
+    "person": rf"(?<![\p{{L}}\d])(?:{_TITLES})\.? {_WORD}(?: {_WORD}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity: a cheap test before the patterns.
-HINT = rf"@|\d[ -]?\d[ -]?\d|\d\.\d|[0-9a-fA-F]{{32}}|[=:] ?\"|AKIA|sk-|gh[pousr]_|(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"@|::|:[0-9A-Fa-f]{{1,4}}:|\d[ -]?\d[ -]?\d|\d\.\d|[0-9a-fA-F]{{32}}|[=:] ?\"|AKIA|sk-|gh[pousr]_|(?:{_TITLES})\.? \p{{Lu}}"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC = "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
 _GREEK = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
@@ -55,10 +66,16 @@ _GREEK = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 def kind_of(entity: Column) -> Column:
     """The kind of a whole matched string; null for numbers that are no cards."""
     out = None
-    for kind, pattern in PATTERNS.items():
+    # an account or telephone number without spaces would also pass for a secret
+    for kind in sorted(PATTERNS, key=lambda k: k == "secret"):
+        pattern = PATTERNS[kind]
         ok = entity.rlike(rf"^(?:{pattern})$") if kind != "secret" else entity.rlike(r"^[A-Za-z0-9_/+=.-]{8,}$") & ~entity.rlike(r"^[\d.+-]+$")
+        if kind == "iban":
+            ok = ok & ~entity.rlike("^[0-9A-F]{32,}$")
         if kind == "card":
             ok = ok & luhn(entity)
+        if kind == "phone":
+            ok = (ok | entity.rlike(r"^\d{6,12}$")) & ~entity.rlike(rf"^(?:{PATTERNS['card']})$")
         out = F.when(ok, F.lit(kind)) if out is None else out.when(ok, F.lit(kind))
     return out
 
@@ -104,7 +121,7 @@ def _shift(c: Column, digest: Column, hexadecimal: Column) -> Column:
         return F.when(at == 0, c).otherwise(usual)
 
     sixteen = "0123456789abcdef"
-    return F.when(hexadecimal, F.substr(F.lit(sixteen), F.pmod(F.instr(F.lit(sixteen), c) - 1 + _number(digest, 1, 16), F.lit(16)) + 1, F.lit(1))).otherwise(let(F.instr(F.lit(_ALL), c), moved))
+    return F.when(hexadecimal & (c != ":"), F.substr(F.lit(sixteen), F.pmod(F.instr(F.lit(sixteen), c) - 1 + _number(digest, 1, 16), F.lit(16)) + 1, F.lit(1))).otherwise(let(F.instr(F.lit(_ALL), c), moved))
 
 
 _PASSES = ("forward", "back", "again")
@@ -114,7 +131,7 @@ def permuted(text: Column, key: str, kind: Column) -> Column:
     """A keyed bijection of strings of one shape: which characters are letters of which script and case, digits, or others."""
 
     def one(now: Column, label: Column) -> Column:
-        hexadecimal = now.rlike("^[0-9a-f]{32,}$")
+        hexadecimal = now.rlike("^[0-9a-f]{32,}$|^[0-9a-f]+:[0-9a-f:]+$")
         return F.reverse(F.array_join(F.transform(_characters(now), lambda c, i: _shift(c, _digest(key, label, kind, F.length(now).cast("string"), F.substr(now, F.lit(1), i)), hexadecimal)), ""))
 
     return F.reverse(F.aggregate(F.array(*[F.lit(p) for p in _PASSES]), text, one))
@@ -163,21 +180,22 @@ def _name(word: Column, role: Column, key: str, draw: Column) -> Column:
     return let(lower, lambda x: F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(x)).otherwise(F.initcap(x)))
 
 
-def gender(title: Column) -> Column:
+def gender(title: Column, given: Column) -> Column:
+    """What the title tells; where it tells nothing, by the given name."""
     bare = F.regexp_replace(title, r"\.$", "")
-    return F.when(bare.isin(*_MALE), F.lit("male")).when(bare.isin(*_FEMALE), F.lit("female")).otherwise(F.when(F.pmod(F.crc32(title), F.lit(2)) == 0, F.lit("male")).otherwise(F.lit("female")))
+    return F.when(bare.isin(*_MALE), F.lit("male")).when(bare.isin(*_FEMALE), F.lit("female")).otherwise(F.when(F.pmod(F.crc32(F.initcap(given)), F.lit(2)) == 0, F.lit("male")).otherwise(F.lit("female")))
 
 
 def parts_of(kind: Column, entity: Column) -> Column:
     """What has a surrogate of its own in an entity, as (kind, value): itself, or each name of a person."""
     words = F.split(entity, " ")
     names = F.slice(words, F.lit(2), F.size(words))
-    role = lambda i: F.when(i == F.size(names) - 1, F.lit("last")).otherwise(gender(F.get(words, F.lit(0))))
+    role = lambda i: F.when(i == F.size(names) - 1, F.lit("last")).otherwise(gender(F.get(words, F.lit(0)), F.get(names, F.lit(0))))
     return F.when(kind == "person", F.transform(names, lambda w, i: F.struct(role(i).alias("kind"), w.alias("value")))).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("value"))))
 
 
 _TAIL = r"\.[^.]*$"
-_CODE = r"^(?:\+\d+)?"
+_CODE = r"^(?:\+\d+|\(?0)?"
 
 
 def bijective(kind: Column, value: Column, key: str) -> Column:
@@ -187,7 +205,7 @@ def bijective(kind: Column, value: Column, key: str) -> Column:
     tail = F.when(kind == "email", F.regexp_extract(value, _TAIL, 0)).otherwise(F.lit(""))
     body = F.when(kind == "card", F.substr(digits, F.lit(1), F.length(digits) - 1)).otherwise(F.substr(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail)))
     shown = let(permuted(body, key, F.concat_ws("|", kind, head, tail)), lambda x: F.when(kind == "card", _card(value, x)).otherwise(F.concat(head, x, tail)))
-    return F.when(kind == "ip", _octets(value, key)).otherwise(shown)
+    return F.when((kind == "ip") & ~value.contains(":"), _octets(value, key)).otherwise(shown)
 
 
 def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Column:
@@ -196,17 +214,27 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Colu
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """docs with _found: the matched strings in order, and _between: the text around them; nulls where there is none."""
+    """docs with _found: the matched strings in order (e) and, for names that stand elsewhere in the text after a title, their role; null where there is none.
+
+    _pattern is what they match: null for ANY, else ANY or one of these names.
+    """
     likely = F.col("text").rlike(HINT)
-    found = F.when(likely, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
-    return docs.withColumn("_found", found)
+    first = F.when(likely, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
+    persons = F.filter("_first", lambda e: e.rlike(f"^(?:{PATTERNS['person']})$"))
+    df = docs.withColumn("_first", first).withColumn("_names", F.array_distinct(F.flatten(F.transform(persons, lambda e: parts_of(F.lit("person"), e)))))
+    values = F.transform("_names", lambda p: p["value"])
+    words = F.array_join(F.array_distinct(F.concat(values, F.transform(values, F.upper), F.transform(values, F.initcap))), "|")
+    df = df.withColumn("_pattern", F.when(F.size("_names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\d])(?:"), words, F.lit(r")(?![\p{L}\d])"))))
+    all_ = F.when(F.col("_pattern").isNull(), F.col("_first")).otherwise(F.regexp_extract_all("text", F.concat(F.lit("("), F.col("_pattern"), F.lit(")")), F.lit(1)))
+    role = lambda e: F.when(F.col("_pattern").isNotNull(), F.get(F.filter("_names", lambda p: F.initcap(p["value"]) == F.initcap(e)), F.lit(0))["kind"])
+    return df.withColumn("_found", F.transform(all_, lambda e: F.struct(e.alias("e"), role(e).alias("role")))).drop("_first", "_names")
 
 
 def parts_table(docs: DataFrame) -> DataFrame:
     """(kind, value, n): every distinct part of the corpus and how often it stands there."""
-    each = entities(docs.select("text")).select(F.explode("_found").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    each = each.withColumn("k", kind_of(F.col("e"))).where(F.col("k").isNotNull())
-    parts = each.select("n", F.explode(parts_of(F.col("k"), F.col("e"))).alias("p")).select("p.kind", F.when(F.col("p.kind") == "email", F.lower("p.value")).when(F.col("p.kind").isin(*NAMES), F.initcap("p.value")).otherwise(F.col("p.value")).alias("value"), "n")
+    each = entities(docs.select("text")).select(F.explode("_found").alias("z")).groupBy("z.e", "z.role").agg(F.count(F.lit(1)).alias("n"))
+    each = each.withColumn("k", F.coalesce("role", kind_of(F.col("e")))).where(F.col("k").isNotNull())
+    parts = each.select("n", F.explode(parts_of(F.col("k"), F.col("e"))).alias("p")).select("p.kind", _canonical(F.col("p")).alias("value"), "n")
     return parts.groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
@@ -242,7 +270,7 @@ def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) ->
     again = written(known.where("draw > 0").select("kind", "value", "surrogate"), "pii-again")
     own = [F.col(f"`{c}`") for c in docs.columns]
     df = entities(docs)
-    kinds = F.transform("_found", lambda e: F.struct(e.alias("e"), kind_of(e).alias("k")))
+    kinds = F.transform("_found", lambda x: F.struct(x["e"].alias("e"), F.coalesce(x["role"], kind_of(x["e"])).alias("k")))
     df = df.withColumn("_kinds", kinds)
     if again.isEmpty():
         df = df.withColumn("_again", F.lit(None).cast("map<string,string>"))
@@ -260,7 +288,7 @@ def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) ->
         return F.coalesce(F.try_element_at("_again", F.concat_ws("\x00", p["kind"], value)), usual)
 
     def cased(p: Column, s: Column) -> Column:
-        return F.when((p["value"] == F.upper(p["value"])) & (p["value"] != F.lower(p["value"])) & p["kind"].isin("email", *NAMES) & (F.length(p["value"]) > 1), F.upper(s)).otherwise(s)
+        return F.when((p["value"] == F.upper(p["value"])) & (p["value"] != F.lower(p["value"])) & p["kind"].isin("email", "ip", *NAMES) & (F.length(p["value"]) > 1), F.upper(s)).otherwise(s)
 
     def written_out(x: Column) -> Column:
         shown = F.array_join(F.transform(parts_of(x["k"], x["e"]), lambda p: cased(p, new(p))), " ")
@@ -268,10 +296,10 @@ def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) ->
         return F.when(x["k"].isNull(), x["e"]).otherwise(F.concat(title, shown))
 
     fresh = F.transform("_kinds", written_out)
-    between = F.split("text", ANY, -1)
+    between = F.when(F.col("_pattern").isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("_pattern"), -1))
     whole = F.transform(F.array(F.struct(fresh.alias("f"), between.alias("b"))), lambda z: F.array_join(F.transform(z["b"], lambda t, i: F.concat(t, F.coalesce(F.get(z["f"], i), F.lit("")))), ""))
     some = F.exists("_kinds", lambda x: x["k"].isNotNull())
-    count = lambda kind: F.coalesce(F.size(F.filter("_kinds", lambda x: x["k"] == kind)), F.lit(0)).cast("long")
+    count = lambda kind: F.coalesce(F.size(F.filter("_kinds", lambda x: x["k"].isin(kind, *(NAMES if kind == "person" else ())))), F.lit(0)).cast("long")
     counts = {k: F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"n_{k}") for k in PATTERNS}
     text = F.when(some, F.get(whole, F.lit(0))).otherwise(F.col("text"))
     out = df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts.values())
@@ -279,7 +307,7 @@ def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) ->
 
 
 def _canonical(p: Column) -> Column:
-    return F.when(p["kind"] == "email", F.lower(p["value"])).when(p["kind"].isin(*NAMES), F.initcap(p["value"])).otherwise(p["value"])
+    return F.when(p["kind"].isin("email", "ip"), F.lower(p["value"])).when(p["kind"].isin(*NAMES), F.initcap(p["value"])).otherwise(p["value"])
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

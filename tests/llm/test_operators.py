@@ -118,6 +118,32 @@ def test_surrogates(spark, odd, none):
     assert pii.replaced(none).count() == 0
 
 
+def test_surrogates_of_later_names_and_national_forms(spark):
+    gone = {
+        "Mr John Smith came. Smith's dog, JOHN and John Smith left.": ("Smith", "John", "JOHN"),
+        "Dr Anna Robertson wrote; Robertson agreed": ("Anna", "Robertson"),
+        "call 555.123.4567 now": ("555.123.4567",),
+        "appelez le 01 23 45 67 89 ou 06.12.34.56.78": ("01 23 45 67 89", "06.12.34.56.78"),
+        "unter 030 1234567, (089) 123456 oder 0171/1234567": ("030 1234567", "(089) 123456", "0171/1234567"),
+        "al 612 345 678 o 912 34 56 78 o tel. 612345679": ("612 345 678", "912 34 56 78", "612345679"),
+        "from 2001:0db8:85a3:0000:0000:8a2e:0370:7334, fe80::1ff:fe23:4567:890a": ("2001:0db8", "fe80:"),
+        "IBAN DE89370400440532013000": ("370400440532013000",),
+    }
+    keep = ["on 01.02.2024 12:30:45 we sold 1 234 567 of std::vector", "Smith and John have no title here"]
+    texts = [*gone, *keep]
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, words in enumerate(gone.values()):
+        assert not any(w in got[k].text for w in words), got[k].text
+    assert [got[len(gone) + k].text for k in range(len(keep))] == keep
+    m = re.fullmatch(r"Mr (\S+) (\S+) came\. (\S+)'s dog, (\S+) and (\S+) (\S+) left\.", got[0].text)
+    assert m[2] == m[3] == m[6] and m[1] == m[5] == m[4].capitalize() and got[0].n_person == 5
+    assert [got[k].n_phone for k in range(2, 6)] == [1, 2, 3, 3] and got[6].n_ip == 2
+    assert re.search(r"from [0-9a-f]{4}(:[0-9a-f]{4}){7}, [0-9a-f]{4}::", got[6].text)
+    assert got[7].n_iban == 1 and got[7].n_secret == 0 and re.fullmatch(r"IBAN DE\d{20}", got[7].text)
+    both = spark.createDataFrame([(f"N{x}",) for x in "abcdefgh"], "name string").select(pii.gender(F.lit("Dr"), F.col("name"))).distinct()
+    assert both.count() == 2
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><article><h1>A &amp; B</h1><p>First  words\n here.</p><p>Second.</p></article><div class='comments'><p>me too</p></div><footer>c</footer></body></html>"
     pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p>broken <b")], "page_id long, url string, html string")
