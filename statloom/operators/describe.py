@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.scalar import entropy_term
-from statloom.operators.prefix import prefix
-from statloom.shared import need
+from statloom.operators.prefix import numbered, prefix
+from statloom.shared import need, written
 
 
 def aggregates(x: Column) -> dict[str, Column]:
@@ -52,6 +52,13 @@ def absolute_deviation(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return df.join(means, on).groupBy(*by).agg(F.avg(F.abs(F.col(column) - F.col("_m"))).alias("abs_dev"))
 
 
+def median_absolute_deviation(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Median of the distances from the group's median, both true medians; no group is gathered in one task."""
+    middle = true_median(df, column, by).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("median").alias("_m"))
+    far = df.join(middle, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]).select(*by, F.abs(F.col(column) - F.col("_m")).alias("_d"))
+    return true_median(far, "_d", by).withColumnRenamed("median", "median_abs_dev")
+
+
 def ranked_values(df: DataFrame, column: str, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
     """(by, q, pos, value): the value at sorted position floor(n * q), at most n - 1. Equal values are counted first, then
     prefix sums over the distinct values find the positions; no group is gathered in one task."""
@@ -134,15 +141,23 @@ def mean_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """tau-b from the contingency table of x and y, two columns of few distinct values: the table is joined with itself, never the rows."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    s = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
-    w = F.col("a.n") * F.col("b.n")
-    sums = a.join(b, F.col("a.x") > F.col("b.x")).agg(F.sum(s * w).alias("s"))
-    n = cells.agg(F.sum("n").alias("n"))
-    tx = cells.groupBy("x").agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tx"))
-    ty = cells.groupBy("y").agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ty"))
-    all_ = sums.crossJoin(n).crossJoin(tx).crossJoin(ty)  # one row each
+    """tau-b. Concordant less discordant pairs come from prefix sums, one for each bit of y's rank: two values of y part at one bit, and
+    within the values that agree above it a running sum over x counts what lies on either side. Cells of equal (x, y) are counted first."""
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    cells = written(cells)
+    levels = written(numbered(cells.select("y").distinct(), ["y"], "rank").select(F.col("y").alias("_y"), "rank"))
+    bits = max(1, int(levels.agg(F.max("rank")).head()[0] or 0).bit_length())
+    each = cells.join(levels, F.col("y") == F.col("_y")).select("x", "n", "rank", F.explode(F.array(*[F.lit(k) for k in range(bits)])).alias("level"))
+    high = F.expr("bigint(rank) >> (level + 1)")
+    set_ = F.expr("(rank >> level) & 1") == 1
+    at = each.groupBy("level", high.alias("above"), "x").agg(F.sum(F.when(~set_, F.col("n"))).alias("zero"), F.sum(F.when(set_, F.col("n"))).alias("one")).na.fill(0, ["zero", "one"])
+    at = written(at)
+    run = prefix(at, ["x"], {"upto": F.col("zero")}, ["level", "above"])
+    totals = at.groupBy(F.col("level").alias("_l"), F.col("above").alias("_a")).agg(F.sum("zero").alias("all"))
+    met = run.join(totals, (F.col("level") == F.col("_l")) & (F.col("above") == F.col("_a")))
+    s = met.agg(F.coalesce(F.sum(F.col("one").cast("double") * (2 * F.col("upto") - F.col("zero") - F.col("all"))), F.lit(0.0)).alias("s"))
+    n = cells.agg(F.sum("n").cast("double").alias("n"))
+    ties = lambda c, name: cells.groupBy(c).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(name))
+    all_ = s.crossJoin(n).crossJoin(ties("x", "tx")).crossJoin(ties("y", "ty"))  # one row each
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return all_.select((F.col("s") / F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("kendall"))

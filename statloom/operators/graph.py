@@ -178,19 +178,21 @@ def chains(spark: SparkSession, log_prob, start: list[float], steps: int, scale:
     return spark.range(0, n, 1, n).mapInPandas(run, "chain long, step long, x array<double>")
 
 
-def bayes_factor(df: DataFrame, a: Column, b: Column) -> DataFrame:
+def evidence_ratio(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """log of the factor between two models' densities, over all rows."""
-    return df.agg((F.sum(a) - F.sum(b)).alias("log_bayes_factor"))
+    return df.agg((F.sum(a) - F.sum(b)).alias("log_evidence_ratio"))
 
 
 def decision_boundary(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, errors): the score from which on to say 1, with the fewest errors; of equal ones the lowest."""
+    """(threshold, errors): the score from which on to say 1, with the fewest errors; of equal ones the lowest. Infinity: never say 1."""
     from statloom.operators.prefix import prefix
 
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("one"), F.count_if(F.col(label) == 0).alias("zero"))
     run = prefix(counts, ["threshold"], {"ones": F.col("one"), "zeros": F.col("zero")})
-    total = counts.agg(F.sum("zero").alias("all_zero"))
+    total = counts.agg(F.sum("zero").alias("all_zero"), F.sum("one").alias("all_one"))
     each = run.crossJoin(F.broadcast(total)).select("threshold", (F.col("ones") - F.col("one") + F.col("all_zero") - F.col("zeros") + F.col("zero")).alias("errors"))  # one row
+    never = total.select(F.lit(math.inf).alias("threshold"), F.col("all_one").alias("errors"))
+    each = each.select(F.col("threshold").cast("double").alias("threshold"), "errors").unionByName(never)
     return each.agg(F.min(F.struct("errors", "threshold")).alias("m")).select("m.threshold", "m.errors")
 
 

@@ -44,11 +44,12 @@ def first_reaching(df: DataFrame, order: list[str], value: str, least: float, by
 
 
 def range_sum(df: DataFrame, order: list[str], value: str, start: int, end: int, by: list[str] | None = None) -> DataFrame:
-    """Sum of positions start (inclusive) to end (exclusive) by prefix sums."""
+    """Sum of positions start (inclusive) to end (exclusive) by prefix sums; positions beyond a group's end count as 0."""
     by = by or []
     run = prefix(df, order, {"_run": F.col(value).cast("double"), "_at": F.lit(1).cast("long")}, by)
-    at = lambda k: F.coalesce(F.max(F.when(F.col("_at") == k, F.col("_run"))), F.lit(0.0))
-    return run.where(F.col("_at").isin(start, end)).groupBy(*by).agg((at(end) - at(start)).alias("range_sum"))
+    upto = lambda k: F.when(F.col("_at") <= k, F.col("_at"))
+    at = lambda k: F.coalesce(F.max_by("_run", upto(k)), F.lit(0.0)) if k > 0 else F.lit(0.0)
+    return run.where(F.col("_at") <= max(end, 1)).groupBy(*by).agg((at(max(start, end)) - at(start)).alias("range_sum"))
 
 
 def rolling_median(df: DataFrame, order: list[str], value: str, k: int, by: list[str]) -> DataFrame:
@@ -61,7 +62,23 @@ def rolling_median(df: DataFrame, order: list[str], value: str, k: int, by: list
 
 
 def rank_on_insert(df: DataFrame, order: list[str], value: str, by: list[str], last: int | None = None) -> DataFrame:
-    """df with insert_rank: how many of the earlier values (of the last `last`, if given) are not above the row's own."""
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding if last is None else -last, -1)
-    seen = F.collect_list(value).over(frame)
-    return df.withColumn("_seen", seen).withColumn("insert_rank", F.size(F.filter("_seen", lambda v: v <= F.col(value)))).drop("_seen")
+    """df with insert_rank: how many of the earlier values (of the last `last`, if given) are not above the row's own.
+
+    Over the last k a frame of k rows serves each row. Over all earlier rows the values' ranks part at one bit: for each bit a running
+    sum in order counts the earlier values below, so n log n rows are summed and no row meets all before it.
+    """
+    if last is not None:
+        frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(-last, -1)
+        seen = F.collect_list(value).over(frame)
+        return df.withColumn("_seen", seen).withColumn("insert_rank", F.size(F.filter("_seen", lambda v: v <= F.col(value)))).drop("_seen")
+    rows = written(numbered(df, order, "_at", by))
+    # of equal values the later row ranks higher, so every earlier value that is not above has a lower rank
+    ranked = written(numbered(rows.select(*by, "_at", F.col(value).alias("_v")).where(F.col("_v").isNotNull()), ["_v", "_at"], "_r", by))
+    bits = max(1, int(ranked.agg(F.max("_r")).head()[0] or 0).bit_length())
+    each = ranked.select(*by, "_at", "_r", F.explode(F.array(*[F.lit(k) for k in range(bits)])).alias("_level"))
+    each = each.withColumns({"_above": F.expr("bigint(_r) >> (_level + 1)"), "_one": F.expr("(_r >> _level) & 1")})
+    run = prefix(each, ["_at"], {"_below": 1 - F.col("_one")}, [*by, "_level", "_above"])
+    found = run.groupBy(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_at").alias("_p")).agg(F.sum(F.when(F.col("_one") == 1, F.col("_below"))).alias("_n"))
+    on = [F.col("_at") == F.col("_p"), *[F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by]]
+    out = rows.join(found, on, "left").withColumn("insert_rank", F.coalesce("_n", F.lit(0)).cast("int"))
+    return out.drop("_at", "_p", "_n", *[f"_b_{b}" for b in by])

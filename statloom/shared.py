@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir; a local session without one, as in tests, gets a folder of our own, a cluster an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="statloom-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

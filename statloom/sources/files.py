@@ -12,13 +12,17 @@ BAD = "_malformed"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, quote: str = '"') -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed): rows that do not fit the schema come back as text in a table of their own."""
+    """(rows, malformed): rows that do not fit the schema come back as text in a table of their own, with one column `_malformed`.
+
+    The first line is a header, wherever it stands again it is one too; blank lines are no rows; a field holds no line break.
+    """
+    lines = spark.read.text(path)
+    header = lines.head()
     kinds = T.StructType.fromDDL(schema).add(BAD, T.StringType())
-    df = spark.read.csv(path, header=True, schema=kinds, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, quote=quote, enforceSchema=True)
-    good = df.where(F.col(BAD).isNull()).drop(BAD)
-    # Spark refuses a scan of the corrupt column alone, so another column goes with it
-    bad = df.where(F.col(BAD).isNotNull()).select(F.col(kinds[0].name).alias("_first"), BAD).drop("_first")
-    return good, bad
+    rows = lines.where(F.trim("value") != "") if header is None else lines.where((F.trim("value") != "") & (F.col("value") != F.lit(header[0])))
+    parsed = rows.select(F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "quote": quote}).alias("r"))
+    good = parsed.where(F.col(f"r.{BAD}").isNull()).select("r.*").drop(BAD)
+    return good, parsed.where(F.col(f"r.{BAD}").isNotNull()).select(f"r.{BAD}")
 
 
 def create_statement(df: DataFrame, name: str) -> str:
