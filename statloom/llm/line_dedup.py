@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import SPACE, table, word_count, written
+from statloom.llm.common import SPACE, packed, scratch, spread_join, table, unpacked, word_count, written
 
 MIN_WORDS = 50
 DOC = ["_id", "_th"]
@@ -29,23 +29,19 @@ def _keys(df: DataFrame) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """pairs with r, the rank of `by` in order of `by`, for classes of two rows or more; the others leave."""
-    classes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    ranks = classes.orderBy(*by).withColumn("r", F.monotonically_increasing_id()).select(*[F.col(c).alias(f"_{c}") for c in by], "r")
-    ranks = written(ranks, "lines-ranks")
-    on = F.lit(True)
-    for c in by:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    return pairs.join(ranks, on).drop(*by, *[f"_{c}" for c in by])
+    """pairs with r, the rank of `by` in order of `by`, for classes of two rows or more; the others leave. A very common class is spread over tasks."""
+    classes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ranks = written(classes.orderBy(*by).withColumn("r", F.monotonically_increasing_id()), "lines-ranks")
+    return spread_join(pairs, ranks, by).drop(*by)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _th, start, len): spans of lines that are later copies. docs: _id, _th, text; one row for each document."""
-    lines = F.transform(F.split("text", "\n", -1), lambda s: F.btrim(s, F.lit(SPACE)))
-    each = docs.select(*DOC, F.posexplode(lines).alias("pos", "s")).select(*DOC, "pos", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), word_count(F.col("s")).alias("n"))
-    each = written(each, "lines-ids")
-    repeated = _ranked(each, ["h", "g"])
-    # consecutive repeated lines; those without enough words can hold no run
+def _runs(repeated: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _th, pos, r, stop, begin): lines of unbroken stretches of repeated lines with min_words words or more. stop: the line behind
+    the shortest run of so many words that begins here; begin: the first line of the shortest one that ends here; null if there is none.
+
+    A line holds the words from `before` to `upto` of its stretch. Where word number x lies is the last line that begins at x or
+    before: lines and questions are put in one order, and a running last value answers them, linear in the stretch's lines.
+    """
     order = Window.partitionBy(*DOC).orderBy("pos")
     isle = Window.partitionBy(*DOC, "isle")
     isles = (
@@ -55,13 +51,29 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where(F.col("all") >= min_words)
         .withColumn("before", F.col("upto") - F.col("n"))
     )
-    ahead = isle.orderBy("before").rangeBetween(min_words, Window.unboundedFollowing)
-    back = isle.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words)
-    isles = (
-        isles.withColumn("stop", F.coalesce(F.min("pos").over(ahead), F.when(F.col("all") - F.col("before") >= min_words, F.max("pos").over(isle) + 1)))
-        .withColumn("begin", F.coalesce(F.max("pos").over(back) + 1, F.when(F.col("upto") >= min_words, F.min("pos").over(isle))))
+    ahead, back = F.col("before") + (min_words - 1), F.col("upto") - min_words
+    asked = F.filter(
+        F.array(
+            F.struct(F.col("before").alias("x"), F.lit(0).alias("kind")),
+            F.struct(F.when(ahead < F.col("all"), ahead).alias("x"), F.lit(1).alias("kind")),
+            F.struct(F.when(back >= 0, back).alias("x"), F.lit(2).alias("kind")),
+        ),
+        lambda e: e["x"].isNotNull(),
     )
-    isles = written(isles.select(*DOC, "pos", "r", "stop", "begin"), "lines-isles")
+    each = isles.select(*DOC, "isle", "pos", "r", "n", F.explode(asked).alias("e")).select(*DOC, "isle", "pos", "r", "n", "e.x", "e.kind")
+    upto_here = isle.orderBy("x", "kind", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.last(F.when((F.col("kind") == 0) & (F.col("n") > 0), F.col("pos")), ignorenulls=True).over(upto_here)
+    found = each.withColumn("at", at).groupBy(*DOC, "pos").agg(F.max("r").alias("r"), F.max(F.when(F.col("kind") == 1, F.col("at") + 1)).alias("stop"), F.max(F.when(F.col("kind") == 2, F.col("at"))).alias("begin"))
+    return found
+
+
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_id, _th, start, len): spans of lines that are later copies; they may overlap. docs: _id, _th, text; one row for each document."""
+    lines = F.transform(F.split("text", "\n", -1), lambda s: F.btrim(s, F.lit(SPACE)))
+    each = docs.select(*DOC, F.posexplode(lines).alias("pos", "s")).select(*DOC, "pos", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("g"), word_count(F.col("s")).alias("n"))
+    each = written(each, "lines-ids")
+    # consecutive repeated lines; stretches without enough words can hold no run
+    isles = written(_runs(_ranked(each, ["h", "g"]), min_words), "lines-isles")
     runs = isles.select(*DOC, F.col("pos").alias("start"), (F.col("stop") - F.col("pos")).alias("len")).unionByName(isles.select(*DOC, F.col("begin").alias("start"), (F.col("pos") + 1 - F.col("begin")).alias("len")))
     runs = written(runs.where(F.col("start").isNotNull() & (F.col("len") > 0)).distinct(), "lines-runs")
     longest = runs.agg(F.max("len")).head()[0] or 0
@@ -74,8 +86,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         own = own.join(at("r1"), here & (F.col("start") == F.col("_p"))).drop("_i", "_t", "_p")
         own = own.join(at("r2"), here & (F.col("start") + F.col("len") - width == F.col("_p"))).drop("_i", "_t", "_p")
         own = written(own, "lines-depth")
-        first = own.groupBy(F.col("len").alias("_l"), F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*DOC, "start")).alias("first")).where("_n > 1")
-        later = own.join(first, (F.col("len") == F.col("_l")) & (F.col("r1") == F.col("_r1")) & (F.col("r2") == F.col("_r2"))).where(F.struct(*DOC, "start") > F.col("first"))
+        first = own.groupBy("len", "r1", "r2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*DOC, "start")).alias("first")).where("_n > 1")
+        later = spread_join(own, written(first, "lines-first"), ["len", "r1", "r2"]).where(F.struct(*DOC, "start") > F.col("first"))
         found.append(later.select(*DOC, "start", "len"))
         if 2 * width > longest:
             break
@@ -90,42 +102,55 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(_id, _th, start, end): the union of each document's spans as disjoint intervals (end exclusive), linear in the spans."""
+    order = Window.partitionBy(*DOC).orderBy("start", "end")
+    high = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = spans.select(*DOC, "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    placed = placed.withColumn("new", (high.isNull() | (F.col("start") > high)).cast("int"))
+    placed = placed.withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.groupBy(*DOC, "k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("k")
+
+
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _th, whole, gone): for documents that lose lines, whether all of them, else their numbers from 0 in order."""
+    """(_id, _th, _n, whole, gone): for documents that lose lines, their rows, whether all lines go, else the intervals that do, in order."""
     keyed = _keys(docs.select("doc_id", "text")).where(F.col("text").isNotNull())
     prints = keyed.select(*DOC, F.xxhash64(F.lit(2), "text").alias("_th2"), word_count(F.col("text")).alias("n"))
-    prints = written(prints.distinct(), "lines-docs")
-    first = prints.groupBy(F.col("_th").alias("_ft"), F.col("_th2").alias("_ft2")).agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    copies = written(prints.join(first, (F.col("_th") == F.col("_ft")) & (F.col("_th2") == F.col("_ft2"))).where(F.col("_id") > F.col("first")).select(*DOC, "n"), "lines-copies")
-    others = keyed.join(copies.select(*DOC), DOC, "left_anti").select(*DOC, "text")
-    spans = repeated_spans(others.dropDuplicates(DOC) if _repeats(prints, keyed) else others, min_words)
-    numbers = spans.select(*DOC, F.sequence("start", F.col("start") + F.col("len") - 1).alias("span")).groupBy(*DOC).agg(F.flatten(F.collect_set("span")).alias("gone"))
-    whole = copies.where(F.col("n") >= min_words).select(*DOC, F.lit(True).alias("whole"), F.array().cast("array<int>").alias("gone"))
-    return numbers.select(*DOC, F.lit(False).alias("whole"), F.sort_array(F.array_distinct("gone")).alias("gone")).unionByName(whole)
-
-
-def _repeats(prints: DataFrame, keyed: DataFrame) -> bool:
-    """Whether any row repeats the doc_id and text of another; only then must rows be made distinct, which moves every text."""
-    return prints.count() < keyed.count()
+    prints = written(prints.groupBy(*DOC, "_th2", "n").agg(F.count(F.lit(1)).alias("rows")), "lines-docs")
+    first = written(prints.groupBy("_th", "_th2").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "lines-equal")
+    copies = written(spread_join(prints, first, ["_th", "_th2"]).where(F.col("_id") > F.col("first")).select(*DOC, "n"), "lines-copies")
+    # only where rows repeat must they be made distinct, which moves every text
+    once = keyed.select(*DOC, "text").dropDuplicates(DOC) if prints.where("rows > 1").limit(1).count() else keyed.select(*DOC, "text")
+    spans = merged(repeated_spans(once.join(copies.select(*DOC), DOC, "left_anti"), min_words))
+    parts = spans.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("gone"))
+    whole = copies.where(F.col("n") >= min_words).select(*DOC, F.lit(True).alias("whole"), F.array().cast("array<struct<start:int,end:int>>").alias("gone"))
+    rows = prints.select(F.col("_id").alias("_pi"), F.col("_th").alias("_pt"), F.col("rows").alias("_n"))
+    both = parts.select(*DOC, F.lit(False).alias("whole"), "gone").unionByName(whole)
+    return both.join(rows, (F.col("_id") == F.col("_pi")) & (F.col("_th") == F.col("_pt"))).select(*DOC, "_n", "whole", "gone")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text less its later copies, n_lines and deleted (numbers of the lines that went, from 0).
 
     Null text has no lines and stays null; an empty text has one. Of equal runs the one in the lowest (doc_id, line) stays;
-    null doc_ids come first. Rows that repeat doc_id and text are one document and get one result.
+    null doc_ids come first. Rows that repeat doc_id and text are one document and get one result. An empty table gives an
+    empty result. Other columns come back as they are; one that is named n_lines or deleted as n_lines_in or deleted_in.
     """
-    gone = later_copies(docs, min_words).select(F.col("_id").alias("_gi"), F.col("_th").alias("_gt"), "whole", "gone")
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    both = _keys(docs).join(gone, (F.col("_id") == F.col("_gi")) & (F.col("_th") == F.col("_gt")), "left")
+    with scratch(docs.sparkSession):
+        gone = written(later_copies(docs, min_words), "lines-gone", keep=True)
+    own = _keys(packed(docs, "doc_id", "text"))
+    both = spread_join(own, gone, DOC, how="left")
     both = both.withColumn("_lines", F.when(F.col("text").isNotNull(), F.split("text", "\n", -1)))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    both = both.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long")).withColumn(
-        "deleted", F.when(F.col("whole"), every).when(F.col("gone").isNotNull(), F.col("gone")).otherwise(F.array().cast("array<int>"))
-    )
-    left = F.transform(F.array_except(every, F.col("gone")), lambda i: F.get(F.col("_lines"), i))
-    text = F.when(F.col("whole"), F.lit("")).when(F.col("gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
-    return both.select(*own, text.alias("text"), "n_lines", "deleted").select(*[F.col(f"`{c}`") for c in docs.columns], "n_lines", "deleted")
+    numbers = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["end"] - 1)))
+    deleted = F.when(F.col("whole"), every).when(F.col("gone").isNotNull(), numbers).otherwise(F.array().cast("array<int>"))
+    both = both.withColumn("_deleted", deleted)
+    # what lies between the intervals, in order
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["end"]))
+    kept = F.flatten(F.transform(starts, lambda a, k: F.slice(F.col("_lines"), a + 1, F.coalesce(F.get(F.col("gone"), k)["start"], F.size("_lines")) - a)))
+    text = F.when(F.col("whole"), F.lit("")).when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    both = both.withColumn("text", text)
+    return unpacked(both, docs.columns, ("doc_id", "text"), n_lines=F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), deleted=F.col("_deleted"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
