@@ -4,17 +4,20 @@ Shingles are runs of WORDS words (A-Z lower-cased); a text of fewer words is one
 the text times 1 + DAMP * idf, with idf in [0, 1]. The idf is damped because near copies share their shingles and not their
 edits: undamped, a group of thousands of copies would lower the weight of all that its members share, and push them below
 the threshold. Document frequencies of all documents are counted in CELLS cells by hash, a sketch of fixed size however
-large the corpus: a cell's share of documents is right down to the mean load of a cell, which ranks as fully rare.
+large the corpus. The idf goes by the share of documents that have a shingle, so it does not change as a corpus grows; shares
+below the mean load of a cell (about one document in CELLS / mean number of shingles) rank as fully rare.
 
 BANDS bands of ROWS samples find a pair at similarity 0.8 with probability 0.998, at 0.9 with 0.99999. Texts of equal words
-are one vertex of a graph. Of every text in a bucket with another, the weight is summed of its shingles that no other such
-text has. These cannot be shared, so with weights w and shared weights s a pair is similar at most min(s, s') / (w + w' -
-min(s, s')): an exact bound, by which texts and pairs that cannot reach the threshold leave before they are compared.
+are one vertex of a graph. Two exact bounds let texts and pairs leave before they are compared, and nothing else does. Of every
+text in a bucket with another, the weight is summed of its shingles that no other such text has: these cannot be shared, so with
+weights w and shareable weights s a pair is similar at most min(s, s') / (w + w' - min(s, s')). And each text's weight is
+summed by CLASSES classes of shingles: two texts share at most the sum of the smaller ones.
 
 In a band's bucket every member is then compared with a hub, the member with the least share of its own; what is similar to it
 joins its class. Buckets whose members are in one class are done. The others go on with 64 and then MOST_HUBS hubs against
-the members of other classes until every hub has met every one: no candidate pair of different classes stays unverified, and
-a group of copies costs about as many comparisons as it has members. Classes are connected components of the verified links.
+the members of other classes until every hub has met every one: no candidate pair of different classes that the bounds allow
+stays unverified, and a group of copies costs about as many comparisons as it has members. Classes are connected components of
+the verified links. Members of large buckets and rows of large groups are spread over tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statloom.llm import textscan as T
-from statloom.llm.common import table, written
+from statloom.llm.common import HOT, numbered, packed, scratch, spread_join, table, unpacked, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -40,9 +43,8 @@ DAMP = 0.5
 SLACK = 1e-4
 #: The most hubs of a bucket in one round.
 MOST_HUBS = 1000
-#: A candidate pair agrees in a whole band and in so many samples of 48. At similarity 0.8 it agrees in 38.4 on average, with
-#: a deviation of 2.8: three pairs in 10,000 have fewer than 28, few beside the 0.2 % that share no band.
-AGREE = 28
+#: Classes of shingles of the bound by classes.
+CLASSES = 128
 BLOCK = 1 << 18
 #: Bits of a shingle's hash; the others hold the row, of which a block has at most BLOCK.
 _BITS = np.uint64(44)
@@ -123,8 +125,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return (1 + DAMP * idf).astype(np.float32)
 
 
-def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bands' keys [rows, BANDS] of rows that begin at starts (none empty), and 16 bits of each sample [rows, BANDS * ROWS].
+def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bands' keys [rows, BANDS] of rows that begin at starts (none empty).
 
     A sample is the shingle k and step t with the least a = c / (y * exp(r)), ln y = r * (t - beta), t = floor(ln w / r + beta);
     r, c and beta of a shingle and sample come from tables of 2^16 draws by a hash of both.
@@ -132,7 +134,6 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tupl
     log_w = np.log(weights).astype(np.float32)
     low = (hashes >> np.uint64(24)).astype(np.uint32)
     keys = np.zeros((len(starts), BANDS), np.uint64)
-    short = np.zeros((len(starts), BANDS * ROWS), np.uint16)
     ordered = np.empty(len(hashes), np.uint64)
     halves = ordered.view(np.uint32)  # the upper half is the second
     with np.errstate(over="ignore"):
@@ -150,37 +151,34 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> tupl
             halves[1::2] = beta.view(np.uint32)
             halves[::2] = (t.view(np.uint32) * np.uint32(0x9E3779B1)) ^ low
             least = np.minimum.reduceat(ordered, starts) & np.uint64(0xFFFFFFFF)
-            short[:, j] = least & np.uint64(0xFFFF)
             keys[:, j // ROWS] += (least + np.uint64(1)) * T.FACTORS[j % ROWS + 3]
-        return T.mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * T.FACTORS[20]), short
+        return T.mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * T.FACTORS[20])
 
 
 def sketched(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(id, th, f1, f2, w, bands, sketch): one row for each row with text; f1 and f2 are hashes of its words, w its weight, bands is null if it has none."""
+    """(id, th, f1, f2, w, bands): one row for each row with text; f1 and f2 are hashes of its words, w its weight, bands is null if it has none."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, total, bands, sketch = [np.zeros((0, 2), np.uint64)], [np.zeros(0)], [], []
+            prints, total, bands = [np.zeros((0, 2), np.uint64)], [np.zeros(0)], []
             data, at = T.buffers(batch.column(2))
             for lo, hi in T.groups(at, BLOCK):
                 rows, s, n, f = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 some = np.unique(rows)
                 w = n * sent.value[_cells(s)]
-                keys, short = samples(s, w, np.searchsorted(rows, some)) if len(some) else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BANDS * ROWS), np.uint16))
+                keys = samples(s, w, np.searchsorted(rows, some)) if len(some) else np.zeros((0, BANDS), np.uint64)
                 total.append(np.bincount(rows, w, hi - lo))
                 own: list = [None] * (hi - lo)
-                bits: list = [None] * (hi - lo)
-                for k, x, y in zip(some.tolist(), keys.view(np.int64), short.view(np.int16), strict=True):
-                    own[k], bits[k] = x, y
+                for k, x in zip(some.tolist(), keys.view(np.int64), strict=True):
+                    own[k] = x
                 prints.append(f)
                 bands += own
-                sketch += bits
             f = np.concatenate(prints).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(np.concatenate(total)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int16()))], names=["id", "th", "f1", "f2", "w", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(np.concatenate(total)), pa.array(bands, pa.list_(pa.int64()))], names=["id", "th", "f1", "f2", "w", "bands"])
 
     keyed = _keyed(docs).where(F.col("text").isNotNull()).select("id", "th", "text")
-    out = keyed.mapInArrow(step, "id bigint, th bigint, f1 bigint, f2 bigint, w double, bands array<bigint>, sketch array<smallint>")
+    out = keyed.mapInArrow(step, "id bigint, th bigint, f1 bigint, f2 bigint, w double, bands array<bigint>")
     # texts without words are equal only as they stand
     return out.withColumn("f1", F.when(F.col("bands").isNull(), F.col("th")).otherwise(F.col("f1"))).withColumn("f2", F.when(F.col("bands").isNull(), F.lit(0)).otherwise(F.col("f2")))
 
@@ -206,6 +204,24 @@ def unshared(texts: DataFrame, weights: np.ndarray) -> DataFrame:
     return once.groupBy("v").agg(F.sum(F.col("w").cast("double")).alias("u"))
 
 
+def profiles(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(v, profile): each text's weight by CLASSES classes of shingles."""
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [np.zeros((0, CLASSES), np.float32)]
+            data, at = T.buffers(batch.column(1))
+            for lo, hi in T.groups(at, BLOCK):
+                rows, s, n, _ = shingles(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+                of = (s >> np.uint64(22)).astype(np.int64) % CLASSES
+                sums.append(np.bincount(rows * CLASSES + of, n * sent.value[_cells(s)], (hi - lo) * CLASSES).reshape(-1, CLASSES).astype(np.float32))
+            flat = np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * CLASSES, pa.array(flat.ravel()))], names=["v", "profile"])
+
+    return texts.select("v", "text").mapInArrow(step, "v bigint, profile array<float>")
+
+
 def similarity(batch_a: pa.Array, batch_b: pa.Array, weights: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of two columns, row by row."""
     out = []
@@ -256,8 +272,8 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         else:
             rounds -= 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("_n"))
+        large = spread_join(both.where("b > a"), written(least, "near-least"), ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large.where("a > b"), "near-large")
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         met = large.join(low, F.col("a") == F.col("u"))
@@ -267,17 +283,29 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
 
 def _several(members: DataFrame) -> DataFrame:
     """The members of buckets with more than one."""
-    shared = members.groupBy(F.col("b").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_b")
-    return members.join(shared, F.col("b") == F.col("_b")).drop("_b")
+    shared = written(members.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "near-shared")
+    return spread_join(members, shared, ["b"])
 
 
 def _open(m: DataFrame, least: float) -> DataFrame:
     """The members that may still be similar to one of another class in their bucket: their bound with the bucket's lightest text reaches the threshold."""
-    low = m.groupBy(F.col("b").alias("_b")).agg(F.min("w").alias("_w"), F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("_b", "_w")
-    some = m.join(low, F.col("b") == F.col("_b")).where(F.col("s") >= (least - SLACK) * (F.col("w") + F.greatest(F.lit(0.0), F.col("_w") - F.col("s")))).drop("_b", "_w")
+    low = m.groupBy("b").agg(F.min("w").alias("_w"), F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high")
+    some = spread_join(m, written(low.select("b", "_w", "_n"), "near-low"), ["b"])
+    some = some.where(F.col("s") >= (least - SLACK) * (F.col("w") + F.greatest(F.lit(0.0), F.col("_w") - F.col("s")))).drop("_w")
     some = written(some, "near-some")
-    still = some.groupBy(F.col("b").alias("_b")).agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("_b")
-    return written(some.join(still, F.col("b") == F.col("_b")).drop("_b"), "near-open")
+    still = some.groupBy("b").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low < _high")
+    return written(spread_join(some, written(still.select("b", "_n"), "near-still"), ["b"]), "near-open")
+
+
+def _salted(m: DataFrame, hub: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Members and hubs with a column `salt`: a large bucket's members are dealt over several salts, and its hubs (hubs at most) stand at each of them."""
+    sizes = m.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    total = m.count()
+    large = max(total / HOT, 1000 / min(hubs, 10))
+    hot = written(sizes.where(F.col("n") > large).select(F.col("b").alias("_hb"), F.ceil(F.col("n") / large).cast("int").alias("_k")), "near-hot")  # fewer than 10 * HOT buckets
+    mine = m.join(F.broadcast(hot), F.col("b") == F.col("_hb"), "left").withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "v"), F.coalesce("_k", F.lit(1)))).drop("_hb", "_k")
+    theirs = hub.join(F.broadcast(hot), F.col("_b") == F.col("_hb"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_k", F.lit(1)).cast("long") - 1))).drop("_hb", "_k")
+    return mine, theirs
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -285,23 +313,31 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     class_id is the least id of the class; first marks one row of each class, the one with the least (id, th). A doc_id of null is -1.
     """
+    with scratch(docs.sparkSession):
+        return written(_classes(docs, least), "near-classes", keep=True)
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     weights = frequencies(docs)
     rows = written(sketched(docs, weights), "near-rows")
-    each = rows.groupBy("id", "th", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("w", "bands", "sketch")).alias("k"))
-    texts = each.groupBy("f1", "f2").agg(F.min(F.struct("id", "th", "k")).alias("r"), F.sum("n").alias("rows"))
-    texts = written(texts.select(F.monotonically_increasing_id().alias("v"), "f1", "f2", "r.id", "r.th", "r.k.w", "r.k.bands", "r.k.sketch", "rows"), "near-texts")
+    each = written(rows.groupBy("id", "th", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("w", "bands")).alias("k")), "near-each")
+    texts = each.groupBy("f1", "f2").agg(F.min(F.struct("id", "th", "n", "k")).alias("r"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("copies"))
+    texts = written(texts.select(F.monotonically_increasing_id().alias("v"), "f1", "f2", "r.id", "r.th", "r.n", "r.k.w", "r.k.bands", "rows", "copies"), "near-texts")
     kept = texts.where("bands IS NOT NULL").select("v", F.explode("bands").alias("b"))
     members = written(_several(kept), "near-members")
-    wanted = members.select("v").distinct().join(texts.select("v", "id", "th"), "v")
-    own = _keyed(docs).where(F.col("text").isNotNull()).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "text")
-    candidates = written(own.join(wanted, (F.col("_i") == F.col("id")) & (F.col("_t") == F.col("th"))).select("v", "text").dropDuplicates(["v"]), "near-candidates")
+    wanted = members.select(F.col("v").alias("_v")).distinct().join(texts.select("v", "id", "th", F.col("n").alias("_n")), F.col("v") == F.col("_v")).drop("_v")
+    own = _keyed(docs).where(F.col("text").isNotNull())
+    candidates = written(spread_join(own, written(wanted, "near-wanted"), ["id", "th"]).select("v", "text").dropDuplicates(["v"]), "near-candidates")
     alone = unshared(candidates, weights).withColumnRenamed("v", "_v")
-    able = texts.select("v", "w").join(alone, F.col("v") == F.col("_v"), "left").select(F.col("v").alias("_v"), "w", (F.col("w") - F.coalesce("u", F.lit(0.0))).alias("s"))
+    able = candidates.select("v").join(texts.select(F.col("v").alias("_t"), "w"), F.col("v") == F.col("_t")).drop("_t")
+    able = able.join(alone, F.col("v") == F.col("_v"), "left").select(F.col("v").alias("_v"), "w", (F.col("w") - F.coalesce("u", F.lit(0.0))).alias("s"))
     able = able.where(F.col("s") >= (least - SLACK) * F.col("w"))
     members = written(_several(members.join(able, F.col("v") == F.col("_v")).select("b", "v", "w", "s")), "near-able")
 
-    prints = texts.join(members.select(F.col("v").alias("_v")).distinct(), F.col("v") == F.col("_v")).select(F.col("v").alias("p"), "bands", "sketch")
-    prints = written(prints, "near-prints")
+    left = members.select(F.col("v").alias("_v")).distinct()
+    prints = texts.join(left, F.col("v") == F.col("_v")).select(F.col("v").alias("p"), "bands")
+    shapes = profiles(candidates.join(left, F.col("v") == F.col("_v")), weights)
+    prints = written(prints.join(shapes, F.col("p") == F.col("v")).select("p", "bands", "profile"), "near-prints")
     hubs, links, label = 1, None, None
     order = F.struct((1 - F.col("s") / F.col("w")).alias("alone"), "v")
     while True:
@@ -312,19 +348,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if hubs == 1:
             hub = m.groupBy(F.col("b").alias("_b")).agg(F.min(F.struct(order.alias("o"), "v", "w", "s", "c")).alias("h")).select("_b", F.col("h.v").alias("h"), F.col("h.w").alias("hw"), F.col("h.s").alias("hs"), F.col("h.c").alias("hc"))
         else:
-            ranked = m.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(order)))
+            # each task sends on no more than `hubs` rows of a bucket, and salts share them once more
+            salted = m.withColumn("_salt", F.pmod(F.xxhash64(F.lit(12), "v"), F.lit(32)))
+            some = salted.withColumn("k", F.row_number().over(Window.partitionBy("b", "_salt").orderBy(order))).where(F.col("k") <= hubs).drop("k", "_salt")
+            ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(order)))
             hub = ranked.where(F.col("k") <= hubs).select(F.col("b").alias("_b"), F.col("v").alias("h"), F.col("w").alias("hw"), F.col("s").alias("hs"), F.col("c").alias("hc"))
         hub = written(hub, "near-hubs")
         both = F.least("s", "hs")
         # hubs come first in the order, so this keeps every pair with a hub, and a pair of hubs once
         later = F.struct((1 - F.col("hs") / F.col("hw")).alias("alone"), F.col("h").alias("v")) < order
-        can = later & (F.col("c") != F.col("hc")) & (both >= (least - SLACK) * (F.col("w") + F.col("hw") - both))
+        able = lambda shared: shared >= (least - SLACK) * (F.col("w") + F.col("hw") - shared)
         # a pair that shares several buckets meets in the first of them, which stays open for it
         first = F.get("bands", (F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True) - 1).cast("int")) == F.col("b")
-        same = F.aggregate(F.zip_with("sketch", "hsketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        mine = m.join(prints, F.col("v") == F.col("p")).drop("p")
-        theirs = hub.join(prints, F.col("h") == F.col("p")).drop("p").withColumnsRenamed({"bands": "hbands", "sketch": "hsketch"})
-        pairs = mine.join(theirs, (F.col("b") == F.col("_b")) & can & first & (same >= AGREE))
+        shared = F.aggregate(F.zip_with("profile", "hprofile", lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda n, x: n + x)
+        mine, theirs = _salted(m, hub, hubs)
+        mine = mine.join(prints, F.col("v") == F.col("p")).drop("p")
+        theirs = theirs.join(prints, F.col("h") == F.col("p")).drop("p").withColumnsRenamed({"bands": "hbands", "profile": "hprofile"})
+        pairs = mine.join(theirs, (F.col("b") == F.col("_b")) & (F.col("salt") == F.col("_salt")) & later & (F.col("c") != F.col("hc")) & able(both) & first & able(shared))
         pairs = pairs.select(F.greatest("v", "h").alias("a"), F.least("v", "h").alias("b")).distinct()
         found = written(verified(written(pairs, "near-pairs"), candidates, weights, least), "near-links")
         links = found if links is None else links.unionByName(found)
@@ -335,44 +375,54 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         hubs = min(MOST_HUBS, hubs * 64)
 
     label = None if links is None else components(links)
-    of = texts.select("v", "f1", "f2", "id", "th", "rows")
+    of = texts.select("v", "f1", "f2", "id", "th", "rows", "copies")
     of = of.withColumn("c", F.col("v")) if label is None else of.join(label.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("c", F.coalesce("c", "v")).drop("_v")
     of = written(of, "near-of")
-    sizes = of.groupBy(F.col("c").alias("_c")).agg(F.min(F.struct("id", "th")).alias("low"), F.sum("rows").alias("class_size"))
-    of = of.join(sizes, F.col("c") == F.col("_c")).select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "low", "class_size")
-    out = each.drop("k").join(of, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")))
+    sizes = written(of.groupBy("c").agg(F.min(F.struct("id", "th")).alias("low"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("_n")), "near-sizes")
+    of = written(spread_join(of, sizes, ["c"]).select("f1", "f2", "low", "class_size", F.col("copies").alias("_n")), "near-low")
+    out = spread_join(each.drop("k"), of, ["f1", "f2"])
     return out.select("id", "th", "n", F.col("low.id").alias("class_id"), "class_size", (F.struct("id", "th") == F.col("low")).alias("first"))
 
 
+def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """docs packed: its rows with text with n, class_id, class_size and first of their (doc_id, text), and those without."""
+    found = classes(docs.select("doc_id", "text"), least)
+    f = found.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("n").alias("_rows"), F.col("n").alias("_n"), F.struct("class_id", "class_size", "first").alias("_k"))
+    own = packed(docs, "doc_id", "text").withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
+    has = own.where(F.col("text").isNotNull()).withColumn("_t", F.xxhash64("text"))
+    return spread_join(has, f, ["_i", "_t"]), own.where(F.col("text").isNull())
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs with class_id, class_size and is_first, one row for each row of docs.
 
     Null text is like nothing else: a class of its own with class_id doc_id. Texts without words are copies only if equal.
     Rows that repeat doc_id and text are copies of one another; one of them, chosen by no rule, is first. An empty table gives
-    an empty result; columns of other names are kept.
+    an empty result. Other columns come back as they are; one named as a column of the result with `_in` behind its name.
     """
-    found = written(classes(docs, least), "near-classes")
-    f = found.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("n").alias("_n"), "class_id", "class_size", "first")
-    key_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
-    has = docs.where(F.col("text").isNotNull())
-    both = has.join(f, (key_id == F.col("_i")) & (F.xxhash64("text") == F.col("_t")))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    once = both.where("_n = 1 OR NOT first").select(*own, "class_id", "class_size", F.col("first").alias("is_first"))
-    many = both.where("_n > 1 AND first").withColumn("_k", F.row_number().over(Window.partitionBy("_i", "_t").orderBy("_n")))
-    many = many.select(*own, "class_id", "class_size", (F.col("_k") == 1).alias("is_first"))
-    none = docs.where(F.col("text").isNull()).select(*own, key_id.alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("is_first"))
+    both, none = _classified(docs, least)
+    k = F.col("_k")
+    shape = lambda df, **made: unpacked(df, docs.columns, ("doc_id", "text"), **made)
+    once = shape(both.where("_rows = 1 OR NOT _k.first"), class_id=k["class_id"], class_size=k["class_size"], is_first=k["first"])
+    many = numbered(both.where("_rows > 1 AND _k.first"), ["_i", "_t"], "_number")
+    many = shape(many, class_id=k["class_id"], class_size=k["class_size"], is_first=F.col("_number") == 1)
+    none = shape(none, class_id=F.col("_i"), class_size=F.lit(1).cast("long"), is_first=F.lit(True))
     return once.unionByName(many).unionByName(none)
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each class; rows without text stay."""
-    return near_duplicates(docs, least).where("is_first").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each class; rows without text stay. The columns are those of docs; see near_duplicates."""
+    both, none = _classified(docs, least)
+    first = both.where("_k.first")
+    once, many = first.where("_rows = 1"), first.where("_rows > 1").dropDuplicates(["_i", "_t"])
+    shape = lambda df: unpacked(df, docs.columns, ("doc_id", "text"))
+    return shape(once).unionByName(shape(many)).unionByName(shape(none))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each row of documents: doc_id, the least doc_id of its class, the class's rows, whether it is the one kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(classes(docs), "near-classes")
+    found = classes(docs)
     each = found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "first", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
     each = each.select("doc_id", "class_id", "class_size", (F.col("first") & (F.col("k") == 1)).alias("kept"))
     none = docs.where(F.col("text").isNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
