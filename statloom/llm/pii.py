@@ -1,12 +1,14 @@
 """Surrogates for personal data: every detected entity gets a keyed replacement of its own kind.
 
-Entities are e-mail addresses, IP addresses, telephone numbers, payment cards (Luhn-valid), IBANs, social security numbers,
-secrets (long hexadecimal or quoted keys), persons after a title and, anywhere in the same text, their names without it. A surrogate keeps the format: letters stand for letters of
-the same case and script, digits for digits, whatever stands between stays; cards stay Luhn-valid, octets stay octets, a
-person's given name stays of the gender that the title tells and of its script.
-
-Except for names, replacement is a keyed bijection on strings of one shape (two passes that shift each character by a hash of
-all before, then of all behind), so that different entities have different surrogates and one entity the same one everywhere.
+Entities are e-mail addresses, IP addresses, telephone numbers, payment cards (Luhn-valid), IBANs (with valid check digits),
+social security numbers, secrets (long hexadecimal or quoted keys), persons after a title and, anywhere in the same text, their
+names without it. A surrogate keeps the format: letters stand for letters of the same case and script, digits for digits,
+whatever stands between stays; cards stay Luhn-valid, IBANs keep country and valid check digits, octets stay octets. A given
+name stays of its script and gender: the title's, else that of a title before the same name elsewhere in the text, else what
+is usual for the name, so that one person has one name whatever the title.
+
+Except for names, replacement is a keyed bijection on strings of one shape (a Feistel network: each half's characters are
+shifted by a digest of the other half), so that different entities have different surrogates and one entity the same one everywhere.
 Names are drawn from syllables by a keyed hash; two names may then meet. `surrogates` holds every distinct entity of the corpus
 with its surrogate and checks all of them: within a kind no two share a surrogate and none is another's original; whoever
 clashes is drawn anew. The few drawn anew reach the texts by a join of documents with such an entity; all others are made in
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import table, written
+from statloom.llm.common import packed, scratch, spread_join, table, unpacked, written
 
 KEY = "statloom surrogates"
 #: The kinds of a person's names.
@@ -43,6 +45,10 @@ _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Señorita", "Srta", "
 #: A name, without the 's of a genitive.
 _WORD = r"\p{Lu}(?:(?!'s?(?!\p{L}))[\p{L}'-])+"
 _EITHER = ("Dr", "Prof", "Professor")
+#: Given names whose ending tells another gender than theirs; of the others those that end as below are female.
+_MEN = "Abraham Alessandre Alexandre Andre Andrew Antoine Bruce Claude Dave Étienne Eugene George Guillaume Gustave Jake Jamie Jérôme Joe Jorge Jose José Joshua Jude Kyle Lance Leslie Luca Luke Maurice Mike Mikhaila Nicola Philippe Pierre Rene René Sasha Steve Wayne Никита Илья Саша Миша".split()
+_WOMEN = "Agnes Ann Beatriz Carmen Carol Dolores Edith Elizabeth Esther Gertrud Heather Helen Ingrid Iris Jennifer Joan Karen Kim Kimberly Kirsten Lourdes Lucy Margaret Margot Mary Megan Mercedes Nancy Pilar Rachel Ruth Sarah Sharon Susan Любовь".split()
+_FEMALE_END = r"(?i)(?:a|ah|e|ie|elle|ette|ine|lyn|een|à|é|ée|а|я)$"
 _TITLES = "|".join(sorted((*_MALE, *_FEMALE, *_EITHER), key=lambda t: (-len(t), t)))
 #: kind -> pattern; the first that matches at a place counts. Groups are not captured.
 PATTERNS: dict[str, str] = {
@@ -64,18 +70,20 @@ _GREEK = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 
 
 def kind_of(entity: Column) -> Column:
-    """The kind of a whole matched string; null for numbers that are no cards."""
+    """The kind of a whole matched string; null for numbers that are no cards and IBANs whose check digits are wrong."""
     out = None
     # an account or telephone number without spaces would also pass for a secret
     for kind in sorted(PATTERNS, key=lambda k: k == "secret"):
         pattern = PATTERNS[kind]
         ok = entity.rlike(rf"^(?:{pattern})$") if kind != "secret" else entity.rlike(r"^[A-Za-z0-9_/+=.-]{8,}$") & ~entity.rlike(r"^[\d.+-]+$")
         if kind == "iban":
-            ok = ok & ~entity.rlike("^[0-9A-F]{32,}$")
+            ok = ok & iban_valid(entity)
         if kind == "card":
             ok = ok & luhn(entity)
         if kind == "phone":
             ok = (ok | entity.rlike(r"^\d{6,12}$")) & ~entity.rlike(rf"^(?:{PATTERNS['card']})$")
+        if kind == "secret":
+            ok = ok & ~(entity.rlike(rf"^(?:{PATTERNS['iban']})$") & ~entity.rlike("^[0-9A-F]{32,}$"))
         out = F.when(ok, F.lit(kind)) if out is None else out.when(ok, F.lit(kind))
     return out
 
@@ -84,6 +92,16 @@ def luhn(number: Column) -> Column:
     return F.call_function("luhn_check", F.regexp_replace(number, "[ -]", ""))
 
 
+def _mod97(text: Column) -> Column:
+    """Letters count as 10 to 35."""
+    digit = lambda c: c.rlike("[0-9]")
+    return F.aggregate(_characters(text), F.lit(0), lambda a, c: F.pmod(F.when(digit(c), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
+
+
+def iban_valid(entity: Column) -> Column:
+    return let(F.regexp_replace(entity, " ", ""), lambda x: _mod97(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4))))) == 1
+
+
 def let(value: Column, then) -> Column:
     """then(value), with value computed once."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
@@ -107,8 +125,8 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _shift(c: Column, digest: Column, hexadecimal: Column) -> Column:
-    """c moved within its alphabet by the digest; other characters stay."""
+def _shift(c: Column, by: Column, hexadecimal: Column) -> Column:
+    """c moved by a number within its alphabet; other characters stay."""
 
     def moved(at: Column) -> Column:
         begin, first, length = None, 1, None
@@ -117,41 +135,66 @@ def _shift(c: Column, digest: Column, hexadecimal: Column) -> Column:
             begin = F.when(here, F.lit(first)) if begin is None else begin.when(here, F.lit(first))
             length = F.when(here, F.lit(len(letters))) if length is None else length.when(here, F.lit(len(letters)))
             first += len(letters)
-        usual = let(F.struct(begin.alias("b"), length.alias("l")), lambda z: F.substr(F.lit(_ALL), z["b"] + F.pmod(at - z["b"] + _number(digest, 1, z["l"]), z["l"]), F.lit(1)))
+        usual = let(F.struct(begin.alias("b"), length.alias("l")), lambda z: F.substr(F.lit(_ALL), z["b"] + F.pmod(at - z["b"] + by, z["l"]), F.lit(1)))
         return F.when(at == 0, c).otherwise(usual)
 
     sixteen = "0123456789abcdef"
-    return F.when(hexadecimal & (c != ":"), F.substr(F.lit(sixteen), F.pmod(F.instr(F.lit(sixteen), c) - 1 + _number(digest, 1, 16), F.lit(16)) + 1, F.lit(1))).otherwise(let(F.instr(F.lit(_ALL), c), moved))
+    return F.when(hexadecimal & (c != ":"), F.substr(F.lit(sixteen), F.pmod(F.instr(F.lit(sixteen), c) - 1 + by, F.lit(16)) + 1, F.lit(1))).otherwise(let(F.instr(F.lit(_ALL), c), moved))
+
 
+#: Rounds of the Feistel network, and characters that one digest of 128 hexadecimal digits shifts.
+_ROUNDS, _SHIFTS = 4, 21
 
-_PASSES = ("forward", "back", "again")
+
+def _feistel(left: Column, right: Column, shifted, label: Column) -> Column:
+    """struct(l, r) after _ROUNDS rounds; shifted(part, number of its place -> Column) moves a half by digests of the other and of label."""
+
+    def one(part: Column, other: Column, k: Column) -> Column:
+        digests = F.transform(F.sequence(F.lit(0), F.floor(F.size(part) / _SHIFTS).cast("int")), lambda j: F.sha2(F.concat_ws("\x00", label, k.cast("string"), j.cast("string"), F.array_join(other, "\x01")), 512))
+        return let(digests, lambda d: shifted(part, lambda i: _number(F.get(d, F.floor(i / _SHIFTS).cast("int")), F.pmod(i, F.lit(_SHIFTS)) * 6 + 1, 1 << 24)))
+
+    def step(s: Column, k: Column) -> Column:
+        odd = k % 2 == 1
+        return F.when(odd, F.struct(s["l"].alias("l"), one(s["r"], s["l"], k).alias("r"))).otherwise(F.struct(one(s["l"], s["r"], k).alias("l"), s["r"].alias("r")))
+
+    return F.aggregate(F.array(*[F.lit(k) for k in range(1, _ROUNDS + 1)]), F.struct(left.alias("l"), right.alias("r")), step)
 
 
 def permuted(text: Column, key: str, kind: Column) -> Column:
     """A keyed bijection of strings of one shape: which characters are letters of which script and case, digits, or others."""
 
-    def one(now: Column, label: Column) -> Column:
+    def whole(now: Column) -> Column:
         hexadecimal = now.rlike("^[0-9a-f]{32,}$|^[0-9a-f]+:[0-9a-f:]+$")
-        return F.reverse(F.array_join(F.transform(_characters(now), lambda c, i: _shift(c, _digest(key, label, kind, F.length(now).cast("string"), F.substr(now, F.lit(1), i)), hexadecimal)), ""))
+        label = F.concat_ws("\x00", F.lit(key), kind, F.length(now).cast("string"))
+        half = F.floor(F.length(now) / 2).cast("int")
+        shifted = lambda part, number: F.transform(part, lambda c, i: _shift(c, number(i), hexadecimal))
+        ends = let(_characters(now), lambda c: _feistel(F.slice(c, F.lit(1), half), F.slice(c, half + 1, F.size(c) - half), shifted, label))
+        return let(ends, lambda z: F.array_join(F.concat(z["l"], z["r"]), ""))
 
-    return F.reverse(F.aggregate(F.array(*[F.lit(p) for p in _PASSES]), text, one))
+    return let(text, whole)
 
 
 def _octets(ip: Column, key: str) -> Column:
-    def one(now: Column, label: Column) -> Column:
-        return F.reverse(F.transform(now, lambda x, i: F.pmod(x + _number(_digest(key, label, "ip", F.array_join(F.slice(now, F.lit(1), i).cast("array<string>"), ".")), 1, 256), F.lit(256))))
+    def whole(o: Column) -> Column:
+        shifted = lambda part, number: F.transform(part, lambda x, i: F.pmod(x.cast("int") + number(i), F.lit(256)).cast("string"))
+        return let(_feistel(F.slice(o, F.lit(1), F.lit(2)), F.slice(o, F.lit(3), F.lit(2)), shifted, F.lit(f"{key}\x00ip")), lambda z: F.array_join(F.concat(z["l"], z["r"]), "."))
+
+    return let(F.split(ip, r"\."), whole)
 
-    return F.array_join(F.reverse(F.aggregate(F.array(*[F.lit(p) for p in _PASSES]), F.split(ip, r"\.").cast("array<int>"), one)).cast("array<string>"), ".")
 
+#: Kinds that are looked up without what groups their characters, and that.
+_GROUPED = ("card", "iban", "phone", "ssn")
+_MARKS = "[ ./()-]"
 
-def _card(number: Column, body: Column) -> Column:
-    """The digits of body and one more, which makes them Luhn-valid, laid where number has digits; its separators stay."""
-    check = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda x: F.call_function("luhn_check", x)), F.lit(0))
 
-    def laid(new: Column) -> Column:
-        return F.array_join(F.transform(_characters(number), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(new, F.length(F.regexp_replace(F.substr(number, F.lit(1), i), "[ -]", "")) + 1, F.lit(1))).otherwise(c)), "")
+def _laid(original: Column, bare: Column) -> Column:
+    """bare, which has as many characters as original without its marks, with these marks again."""
+    return F.array_join(F.transform(_characters(original), lambda c, i: F.when(c.rlike(_MARKS), c).otherwise(F.substr(bare, F.length(F.regexp_replace(F.substr(original, F.lit(1), i), _MARKS, "")) + 1, F.lit(1)))), "")
 
-    return let(check, laid)
+
+def _checked(body: Column) -> Column:
+    """The digits of body and one more, which makes them Luhn-valid."""
+    return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda x: F.call_function("luhn_check", x)), F.lit(0))
 
 
 _ONSETS = {"latin": ["b", "br", "c", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w"], "cyrillic": ["б", "в", "г", "д", "ж", "з", "к", "л", "м", "н", "п", "р", "с", "т", "ф", "х"]}
@@ -180,32 +223,48 @@ def _name(word: Column, role: Column, key: str, draw: Column) -> Column:
     return let(lower, lambda x: F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(x)).otherwise(F.initcap(x)))
 
 
-def gender(title: Column, given: Column) -> Column:
-    """What the title tells; where it tells nothing, by the given name."""
+def gender(title: Column, given: Column, told: Column | None = None) -> Column:
+    """What the title tells; where it tells nothing, what told, an array of (kind, value), has for the name; else what is usual for it."""
     bare = F.regexp_replace(title, r"\.$", "")
-    return F.when(bare.isin(*_MALE), F.lit("male")).when(bare.isin(*_FEMALE), F.lit("female")).otherwise(F.when(F.pmod(F.crc32(F.initcap(given)), F.lit(2)) == 0, F.lit("male")).otherwise(F.lit("female")))
+    name = F.initcap(given)
+    usual = F.when(name.isin(*_MEN), F.lit("male")).when(name.isin(*_WOMEN) | name.rlike(_FEMALE_END), F.lit("female")).otherwise(F.lit("male"))
+    known = [] if told is None else [F.get(F.filter(told, lambda p: p["value"] == name), F.lit(0))["kind"]]
+    return F.coalesce(F.when(bare.isin(*_MALE), F.lit("male")).when(bare.isin(*_FEMALE), F.lit("female")), *known, usual)
+
+
+def person_parts(entity: Column, told: Column | None = None, gendered: bool = False) -> Column:
+    """(kind, value) of each name of a person; with gendered only given names behind a title that tells their gender, with a capital first."""
 
+    def of(words: Column) -> Column:
+        names = F.slice(words, F.lit(2), F.size(words))
+        title = F.get(words, F.lit(0))
+        if gendered:
+            some = F.regexp_replace(title, r"\.$", "").isin(*_MALE, *_FEMALE)
+            given = F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda w: F.struct(gender(title, w).alias("kind"), F.initcap(w).alias("value")))
+            return F.when(some & (F.size(names) > 1), given).otherwise(F.slice(given, F.lit(1), F.lit(0)))
+        return F.transform(names, lambda w, i: F.struct(F.when(i == F.size(names) - 1, F.lit("last")).otherwise(gender(title, w, told)).alias("kind"), w.alias("value")))
 
-def parts_of(kind: Column, entity: Column) -> Column:
-    """What has a surrogate of its own in an entity, as (kind, value): itself, or each name of a person."""
-    words = F.split(entity, " ")
-    names = F.slice(words, F.lit(2), F.size(words))
-    role = lambda i: F.when(i == F.size(names) - 1, F.lit("last")).otherwise(gender(F.get(words, F.lit(0)), F.get(names, F.lit(0))))
-    return F.when(kind == "person", F.transform(names, lambda w, i: F.struct(role(i).alias("kind"), w.alias("value")))).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("value"))))
+    return let(F.split(entity, " "), of)
 
 
 _TAIL = r"\.[^.]*$"
-_CODE = r"^(?:\+\d+|\(?0)?"
+#: A country code, as it can be told without separators, or the zero of an area code.
+_CODE = r"^(?:\+(?:[17]|\d\d)|0)?"
 
 
 def bijective(kind: Column, value: Column, key: str) -> Column:
-    """The surrogate of a part that is no name: what tells its kind stays (top-level domain, country code), the rest is permuted."""
-    digits = F.regexp_replace(value, "[ -]", "")
+    """The surrogate of a part that is no name, as it is looked up: what tells its kind stays (top-level domain, country code), the rest is permuted, check digits are made anew."""
     head = F.when(kind == "phone", F.regexp_extract(value, _CODE, 0)).when(kind == "iban", F.substring(value, 1, 2)).otherwise(F.lit(""))
     tail = F.when(kind == "email", F.regexp_extract(value, _TAIL, 0)).otherwise(F.lit(""))
-    body = F.when(kind == "card", F.substr(digits, F.lit(1), F.length(digits) - 1)).otherwise(F.substr(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail)))
-    shown = let(permuted(body, key, F.concat_ws("|", kind, head, tail)), lambda x: F.when(kind == "card", _card(value, x)).otherwise(F.concat(head, x, tail)))
-    return F.when((kind == "ip") & ~value.contains(":"), _octets(value, key)).otherwise(shown)
+    skipped = F.length(head) + F.when(kind == "iban", F.lit(2)).otherwise(F.lit(0))
+    last = F.length(tail) + F.when(kind == "card", F.lit(1)).otherwise(F.lit(0))
+    body = F.substr(value, skipped + 1, F.length(value) - skipped - last)
+
+    def shown(x: Column) -> Column:
+        check = F.lpad((98 - _mod97(F.concat(x, head, F.lit("00")))).cast("string"), 2, "0")
+        return F.when(kind == "card", _checked(x)).when(kind == "iban", F.concat(head, check, x)).otherwise(F.concat(head, x, tail))
+
+    return F.when((kind == "ip") & ~value.contains(":"), _octets(value, key)).otherwise(let(permuted(body, key, F.concat_ws("|", kind, head, tail)), shown))
 
 
 def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Column:
@@ -214,28 +273,38 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Colu
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """docs with _found: the matched strings in order (e) and, for names that stand elsewhere in the text after a title, their role; null where there is none.
+    """docs with _found, what its text matches in order: e, the string; k, its kind (null: it stays), the role for a name that stands elsewhere
+    in the text after a title; parts, what of it has a surrogate of its own, as (kind, value). Null where there is nothing.
 
-    _pattern is what they match: null for ANY, else ANY or one of these names.
+    _pattern is what the strings match: null for ANY, else ANY or one of these names.
     """
     likely = F.col("text").rlike(HINT)
     first = F.when(likely, F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
     persons = F.filter("_first", lambda e: e.rlike(f"^(?:{PATTERNS['person']})$"))
-    df = docs.withColumn("_first", first).withColumn("_names", F.array_distinct(F.flatten(F.transform(persons, lambda e: parts_of(F.lit("person"), e)))))
+    df = docs.withColumn("_first", first).withColumn("_persons", persons)
+    df = df.withColumn("_told", F.flatten(F.transform("_persons", lambda e: person_parts(e, gendered=True))))
+    df = df.withColumn("_names", F.array_distinct(F.flatten(F.transform("_persons", lambda e: person_parts(e, F.col("_told"))))))
     values = F.transform("_names", lambda p: p["value"])
     words = F.array_join(F.array_distinct(F.concat(values, F.transform(values, F.upper), F.transform(values, F.initcap))), "|")
     df = df.withColumn("_pattern", F.when(F.size("_names") > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}\d])(?:"), words, F.lit(r")(?![\p{L}\d])"))))
     all_ = F.when(F.col("_pattern").isNull(), F.col("_first")).otherwise(F.regexp_extract_all("text", F.concat(F.lit("("), F.col("_pattern"), F.lit(")")), F.lit(1)))
     role = lambda e: F.when(F.col("_pattern").isNotNull(), F.get(F.filter("_names", lambda p: F.initcap(p["value"]) == F.initcap(e)), F.lit(0))["kind"])
-    return df.withColumn("_found", F.transform(all_, lambda e: F.struct(e.alias("e"), role(e).alias("role")))).drop("_first", "_names")
+    df = df.withColumn("_found", F.transform(all_, lambda e: F.struct(e.alias("e"), F.coalesce(role(e), kind_of(e)).alias("k"))))
+    part = lambda x: F.when(x["k"] == "person", person_parts(x["e"], F.col("_told"))).otherwise(F.array(F.struct(x["k"].alias("kind"), x["e"].alias("value"))))
+    df = df.withColumn("_found", F.transform("_found", lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), F.when(x["k"].isNotNull(), part(x)).alias("parts"))))
+    return df.drop("_first", "_persons", "_told", "_names")
+
+
+def _parts(found: Column) -> Column:
+    """All parts, as they are looked up."""
+    some = F.flatten(F.transform(F.filter(found, lambda x: x["k"].isNotNull()), lambda x: x["parts"]))
+    return F.transform(some, lambda p: F.struct(p["kind"].alias("kind"), _canonical(p).alias("value")))
 
 
 def parts_table(docs: DataFrame) -> DataFrame:
     """(kind, value, n): every distinct part of the corpus and how often it stands there."""
-    each = entities(docs.select("text")).select(F.explode("_found").alias("z")).groupBy("z.e", "z.role").agg(F.count(F.lit(1)).alias("n"))
-    each = each.withColumn("k", F.coalesce("role", kind_of(F.col("e")))).where(F.col("k").isNotNull())
-    parts = each.select("n", F.explode(parts_of(F.col("k"), F.col("e"))).alias("p")).select("p.kind", _canonical(F.col("p")).alias("value"), "n")
-    return parts.groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    each = entities(docs.select("text")).select(F.explode(_parts(F.col("_found"))).alias("p")).select("p.kind", "p.value")
+    return each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -244,6 +313,11 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     Clashing parts but the least of each surrogate are drawn anew. Bijective kinds cannot clash with each other; where a
     surrogate is another's original, the value is drawn again too: the bijection under another key, checked again.
     """
+    with scratch(docs.sparkSession):
+        return written(_unclashing(docs, key), "pii-known", keep=True)
+
+
+def _unclashing(docs: DataFrame, key: str) -> DataFrame:
     now = written(parts_table(docs).withColumn("draw", F.lit(0)), "pii-parts")
     for _ in range(MOST_DRAWS):
         now = written(now.select("kind", "value", "n", "draw", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key).alias("surrogate")), "pii-surrogates")
@@ -264,50 +338,53 @@ def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
 def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) -> DataFrame:
     """docs with text less its personal data and n_<kind> for each kind, n_entities. known: the result of surrogates().
 
-    Null text stays null and has no entities; rows that repeat get equal texts. Columns of other names are kept.
+    Null text stays null and has no entities; rows that repeat get equal texts; an empty table gives an empty result. Other
+    columns come back as they are; one named as a column of the result with `_in` behind its name.
     """
     known = surrogates(docs, key) if known is None else known
-    again = written(known.where("draw > 0").select("kind", "value", "surrogate"), "pii-again")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    df = entities(docs)
-    kinds = F.transform("_found", lambda x: F.struct(x["e"].alias("e"), F.coalesce(x["role"], kind_of(x["e"])).alias("k")))
-    df = df.withColumn("_kinds", kinds)
+    again = written(known.where("draw > 0").select("kind", "value", "surrogate", F.col("n").alias("_n")), "pii-again")
+    df = entities(packed(docs, "text"))
     if again.isEmpty():
         df = df.withColumn("_again", F.lit(None).cast("map<string,string>"))
     else:
         # documents with an entity drawn anew are told apart by their text; its own few surrogates come back as a map
-        a = again.select(F.col("kind").alias("_ak"), F.col("value").alias("_av"), "surrogate")
-        has = df.where("_found IS NOT NULL AND size(_found) > 0").select(F.xxhash64("text").alias("_th"), F.length("text").alias("_tl"), F.explode(F.array_distinct(F.flatten(F.transform(F.filter("_kinds", lambda x: x["k"].isNotNull()), lambda x: parts_of(x["k"], x["e"]))))).alias("p"))
-        hit = has.join(a, (F.col("p.kind") == F.col("_ak")) & (_canonical(F.col("p")) == F.col("_av"))).select("_th", "_tl", F.concat_ws("\x00", F.col("_ak"), F.col("_av")).alias("_of"), "surrogate").distinct()
-        maps = hit.groupBy("_th", "_tl").agg(F.map_from_entries(F.collect_list(F.struct("_of", "surrogate"))).alias("_again"))
-        df = df.join(maps.withColumnRenamed("_th", "_h").withColumnRenamed("_tl", "_l"), (F.xxhash64("text") == F.col("_h")) & (F.length("text") == F.col("_l")), "left").drop("_h", "_l")
+        has = df.where("_found IS NOT NULL AND size(_found) > 0").select(F.xxhash64("text").alias("_th"), F.length("text").alias("_tl"), F.explode(F.array_distinct(_parts(F.col("_found")))).alias("p"))
+        hit = spread_join(has.select("_th", "_tl", "p.kind", "p.value"), again, ["kind", "value"])
+        hit = hit.groupBy("_th", "_tl", F.concat_ws("\x00", "kind", "value").alias("_of"), "surrogate").agg(F.count(F.lit(1)).alias("_n"))
+        maps = hit.groupBy("_th", "_tl").agg(F.map_from_entries(F.collect_list(F.struct("_of", "surrogate"))).alias("_again"), F.max("_n").alias("_n"))
+        df = spread_join(df.withColumns({"_th": F.xxhash64("text"), "_tl": F.length("text")}), written(maps, "pii-maps"), ["_th", "_tl"], how="left").drop("_th", "_tl")
 
     def new(p: Column) -> Column:
-        value = _canonical(p)
-        usual = F.when(p["kind"].isin(*NAMES), _name(value, p["kind"], key, F.lit(0))).otherwise(bijective(p["kind"], value, key))
-        return F.coalesce(F.try_element_at("_again", F.concat_ws("\x00", p["kind"], value)), usual)
+        def of(value: Column) -> Column:
+            usual = F.when(p["kind"].isin(*NAMES), _name(value, p["kind"], key, F.lit(0))).otherwise(bijective(p["kind"], value, key))
+            return F.coalesce(F.try_element_at("_again", F.concat_ws("\x00", p["kind"], value)), usual)
+
+        return let(_canonical(p), of)
 
     def cased(p: Column, s: Column) -> Column:
-        return F.when((p["value"] == F.upper(p["value"])) & (p["value"] != F.lower(p["value"])) & p["kind"].isin("email", "ip", *NAMES) & (F.length(p["value"]) > 1), F.upper(s)).otherwise(s)
+        """s with the capitals of the part: by place where both have one shape."""
+        upper = (p["value"] == F.upper(p["value"])) & (p["value"] != F.lower(p["value"])) & p["kind"].isin(*NAMES) & (F.length(p["value"]) > 1)
+        placed = F.array_join(F.zip_with(_characters(p["value"]), _characters(s), lambda o, c: F.when(o != F.lower(o), F.upper(c)).otherwise(c)), "")
+        return F.when(p["kind"].isin("email", "ip"), placed).when(p["kind"].isin(*_GROUPED), _laid(p["value"], s)).when(upper, F.upper(s)).otherwise(s)
 
     def written_out(x: Column) -> Column:
-        shown = F.array_join(F.transform(parts_of(x["k"], x["e"]), lambda p: cased(p, new(p))), " ")
+        shown = F.array_join(F.transform(x["parts"], lambda p: let(new(p), lambda s: cased(p, s))), " ")
         title = F.when(x["k"] == "person", F.concat(F.get(F.split(x["e"], " "), F.lit(0)), F.lit(" "))).otherwise(F.lit(""))
         return F.when(x["k"].isNull(), x["e"]).otherwise(F.concat(title, shown))
 
-    fresh = F.transform("_kinds", written_out)
+    fresh = F.transform("_found", written_out)
     between = F.when(F.col("_pattern").isNull(), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("_pattern"), -1))
-    whole = F.transform(F.array(F.struct(fresh.alias("f"), between.alias("b"))), lambda z: F.array_join(F.transform(z["b"], lambda t, i: F.concat(t, F.coalesce(F.get(z["f"], i), F.lit("")))), ""))
-    some = F.exists("_kinds", lambda x: x["k"].isNotNull())
-    count = lambda kind: F.coalesce(F.size(F.filter("_kinds", lambda x: x["k"].isin(kind, *(NAMES if kind == "person" else ())))), F.lit(0)).cast("long")
-    counts = {k: F.when(F.col("_kinds").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"n_{k}") for k in PATTERNS}
-    text = F.when(some, F.get(whole, F.lit(0))).otherwise(F.col("text"))
-    out = df.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts.values())
-    return out.withColumn("n_entities", reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in PATTERNS]))
+    whole = let(F.struct(fresh.alias("f"), between.alias("b")), lambda z: F.array_join(F.transform(z["b"], lambda t, i: F.concat(t, F.coalesce(F.get(z["f"], i), F.lit("")))), ""))
+    some = F.exists("_found", lambda x: x["k"].isNotNull())
+    count = lambda kind: F.coalesce(F.size(F.filter("_found", lambda x: x["k"].isin(kind, *(NAMES if kind == "person" else ())))), F.lit(0)).cast("long")
+    counts = {f"n_{k}": F.when(F.col("_found").isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in PATTERNS}
+    df = df.withColumn("text", F.when(some, whole).otherwise(F.col("text"))).withColumns({f"_{k}": v for k, v in counts.items()})
+    made = {k: F.col(f"_{k}") for k in counts}
+    return unpacked(df, docs.columns, ("text",), **made, n_entities=reduce(lambda a, b: a + b, made.values()))
 
 
 def _canonical(p: Column) -> Column:
-    return F.when(p["kind"].isin("email", "ip"), F.lower(p["value"])).when(p["kind"].isin(*NAMES), F.initcap(p["value"])).otherwise(p["value"])
+    return F.when(p["kind"].isin("email", "ip"), F.lower(p["value"])).when(p["kind"].isin(*_GROUPED), F.regexp_replace(p["value"], _MARKS, "")).when(p["kind"].isin(*NAMES), F.initcap(p["value"])).otherwise(p["value"])
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
