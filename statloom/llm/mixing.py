@@ -17,7 +17,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statloom.llm.common import table, word_count, written
+from statloom.llm.common import numbered, packed, scratch, spread_join, table, unpacked, word_count, written
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -27,7 +27,7 @@ EPS = 1e-9
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """(source, source_size, items, target) from (source, size, m): water-filling of the total by weight under ceiling * source_size.
+    """(source, source_size, items, rows, target) from (source, size, m): water-filling of the total by weight under ceiling * source_size.
 
     One row for each source passes through the unpartitioned windows, never a document.
     """
@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CE
     everything = Window.partitionBy()
     s = (
         sizes.groupBy("source")
-        .agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("items"))
+        .agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("items"), F.count(F.lit(1)).alias("rows"))
         .withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
         .withColumn("ceil", ceiling * F.col("source_size").cast("double"))
         .withColumn("ratio", F.col("ceil") / F.col("w"))
@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CE
         / F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
     )
     s = s.withColumn("share", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("n", "level"))).over(everything)["level"])
-    return s.select("source", "source_size", "items", F.least(F.col("ceil"), F.coalesce(F.col("share"), F.lit(0.0)) * F.col("w")).alias("target"))
+    return s.select("source", "source_size", "items", "rows", F.least(F.col("ceil"), F.coalesce(F.col("share"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
 #: One group's pivotal pass. it: the item being met, s.left: the leftover so far (null, or 0 < x < 1).
@@ -98,24 +98,29 @@ def pivotal(items: DataFrame, most: int, fan_in: int = FAN_IN, seed: int = 20_24
     return out
 
 
+def _key(name: str) -> list:
+    """A column that may be null as two that are not."""
+    return [F.coalesce(F.col(name).cast("string"), F.lit("")).alias(f"_{name}"), F.col(name).isNull().alias(f"_{name}_none")]
+
+
 def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING, fan_in: int = FAN_IN, seed: int = 20_240_517) -> DataFrame:
     """How often each document is taken: one row for each distinct (doc_id, source, size) with its multiplicity m, source_size, target,
     base (copies that each of the m rows has) and extra (how many of the m rows have one more).
 
     Null text counts as no words; a null source is a source of its own, last in order. Documents without words are taken 0 times.
-    An empty table gives an empty result. Only doc_id, text and source are read; other columns may have any name.
+    Ties fall by a hash of (doc_id, source, size). An empty table gives an empty result. Only doc_id, text and source are read.
     """
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
     sizes = written(sizes, "mix-sizes")
     targets = written(source_targets(sizes, weights, ceiling).coalesce(1), "mix-targets")
     most = targets.agg(F.max("items")).head()[0] or 0
-    t = targets.select(F.col("source").alias("_s"), "source_size", "target", F.col("items").alias("n"))
+    t = written(targets.select(*_key("source"), "source_size", "target", F.col("items").alias("n"), F.col("rows").alias("_n")), "mix-shares")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     items = (
-        sizes.join(t, F.col("source").eqNullSafe(F.col("_s")))
-        .drop("_s")
-        .withColumn("base", F.floor(rate + EPS))
-        .withColumn("mass", F.col("m") * F.greatest(F.lit(0.0), rate - F.col("base")))
+        spread_join(sizes.select("*", *_key("source")), t, ["_source", "_source_none"])
+        .drop("_source", "_source_none")
+        .withColumn("base", F.when(F.col("size") > 0, F.floor(rate + EPS)).otherwise(F.lit(0)))
+        .withColumn("mass", F.when(F.col("size") > 0, F.col("m") * F.greatest(F.lit(0.0), rate - F.col("base"))).otherwise(F.lit(0.0)))
         .withColumn("extra", F.floor(F.col("mass") + EPS))
         .withColumn("x", F.greatest(F.lit(0.0), F.col("mass") - F.col("extra")))
         .withColumn("a", F.col("size").cast("double"))
@@ -129,7 +134,8 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: int = CEILING,
 
 def taken_words(docs: DataFrame, **how) -> DataFrame:
     """The contract of op5: doc_id, size, source_size, target, taken, one row for each row of docs."""
-    plan = mix_plan(docs, **how)
+    with scratch(docs.sparkSession):
+        plan = written(mix_plan(docs, **how), "mix-plan", keep=True)
     each = plan.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     copies = F.col("base") + (F.col("i") <= F.col("extra")).cast("long")
     return each.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * copies).cast("long").alias("taken"), "source")
@@ -138,19 +144,23 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with `copies` (how often the mix takes the row); rows that are taken 0 times are left out.
 
-    Rows are told apart by (doc_id, source, words). Where m rows share all three, `extra` of them, in order of a hash of their text, get one copy more.
+    Rows are told apart by (doc_id, source, words). Where m rows share all three, `extra` of them, whichever, get one copy more:
+    partitions number their own rows, so that no group meets in one task. Null and empty texts are never taken; an empty table
+    gives an empty result. Other columns come back as they are, one named copies as copies_in.
     """
-    plan = mix_plan(docs, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("m").alias("_m"), F.col("base").alias("_b"), F.col("extra").alias("_e"))
-    both = (
-        docs.withColumn("_size", word_count(F.col("text")))
-        .join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    )
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    alone = both.where("_m = 1").select(*own, (F.col("_b") + F.col("_e")).alias("copies"))
-    even = both.where("_m > 1 AND (_e = 0 OR _e = _m)").select(*own, (F.col("_b") + (F.col("_e") > 0).cast("long")).alias("copies"))
-    order = Window.partitionBy("_d", "_s", "_z").orderBy(F.xxhash64("text"))
-    some = both.where("_m > 1 AND _e > 0 AND _e < _m").withColumn("_i", F.row_number().over(order)).select(*own, (F.col("_b") + (F.col("_i") <= F.col("_e")).cast("long")).alias("copies"))
-    return alone.unionByName(even).unionByName(some).where("copies > 0")
+    needed = ("doc_id", "source", "text")
+    with scratch(docs.sparkSession):
+        plan = mix_plan(docs, **how).select(*_key("doc_id"), *_key("source"), F.col("size").alias("_size"), F.col("m").alias("_n"), F.struct("m", "base", "extra").alias("_p"))
+        plan = written(plan.where("_p.base > 0 OR _p.extra > 0"), "mix-plan", keep=True)
+    own = packed(docs, *needed).select("*", *_key("doc_id"), *_key("source"), word_count(F.col("text")).alias("_size"))
+    keys = ["_doc_id", "_doc_id_none", "_source", "_source_none", "_size"]
+    both = spread_join(own, plan, keys)
+    p = F.col("_p")
+    even = (p["m"] == 1) | (p["extra"] == 0) | (p["extra"] == p["m"])
+    alike = both.where(even).withColumn("_copies", p["base"] + (p["extra"] > 0).cast("long"))
+    some = numbered(both.where(~even), keys, "_number").withColumn("_copies", p["base"] + (F.col("_number") <= p["extra"]).cast("long"))
+    every = alike.unionByName(some.drop("_number")).where("_copies > 0")
+    return unpacked(every, docs.columns, needed, copies=F.col("_copies"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
