@@ -1,8 +1,10 @@
 """Benchmark decontamination: windows of 10 words of the benchmark as a hash set, looked up for every window of every document.
 
-The benchmark's windows go to the workers by broadcast in blocks of at most `block_bytes` of benchmark text, a proven bound:
-one block in almost every case, else the documents pass through one map after another, each with its own block. Nothing is
-shuffled. A hit of a 64-bit window hash is verified by the words themselves.
+The benchmark's windows go to the workers by broadcast as sorted arrays, in blocks of at most BLOCK_BYTES of benchmark text. A
+window takes 20 bytes beside the text and a text has at most half as many words as bytes, so a block takes at most
+11 * BLOCK_BYTES and the bits of its sieve (2^22 bytes): under 50 MB. One block is looked up in one pass that moves nothing.
+More blocks are passes of their own, one after another, that write what they hit; documents that were hit get the union by a
+join. A hit of a 64-bit window hash is verified by the words themselves.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import textscan as T
-from statloom.llm.common import table
+from statloom.llm.common import packed, scratch, spread_join, table, unpacked, written
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _BLOOM = 22
 
 
@@ -31,10 +33,12 @@ def _words(text: str) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some benchmark items: window hash -> (words, item ids)."""
+    """The windows of some benchmark items, sorted by hash for each length: hash, place in the items' words and item."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.by_length: dict[int, dict[int, dict[bytes, list[str]]]] = {}
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+        blob, ends, n_words = [], [], 0
+        self.items: list[str] = []
         for item, text in items:
             w = _words(text)
             if not w:
@@ -42,25 +46,44 @@ class Windows:
             n = min(window, len(w))
             data = np.frombuffer(b" ".join(w), np.uint8)
             h, _ = T.scan(data, np.array([0, len(data)]), T.ALNUM)
-            for k, x in enumerate(T.windows(h, n).tolist()):
-                ids = self.by_length.setdefault(n, {}).setdefault(x, {}).setdefault(b" ".join(w[k : k + n]), [])
-                if item not in ids:
-                    ids.append(item)
-        self.tables: dict = {}
-
-    def table(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes, and a bit for each of their low bits."""
-        if n not in self.tables:
-            keys = np.sort(np.fromiter(self.by_length[n], np.uint64))
-            near = np.zeros(1 << _BLOOM, bool)
-            near[keys & np.uint64((1 << _BLOOM) - 1)] = True
-            self.tables[n] = keys, near
-        return self.tables[n]
+            found = T.windows(h, n)
+            parts.setdefault(n, []).append((found, n_words + np.arange(len(found)), len(self.items)))
+            self.items.append(item)
+            ends += [len(x) for x in w]
+            blob += w
+            n_words += len(w)
+        self.blob = b"".join(blob)
+        self.at = np.concatenate(([0], np.cumsum(ends, dtype=np.int64))).astype(np.int32)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, own in parts.items():
+            keys = np.concatenate([k for k, _, _ in own])
+            order = np.argsort(keys, kind="stable")
+            place = np.concatenate([p for _, p, _ in own]).astype(np.int32)
+            of = np.repeat(np.array([i for _, _, i in own], np.int32), [len(k) for k, _, _ in own])
+            self.tables[n] = keys[order], place[order], of[order]
+        self.near: dict[int, np.ndarray] = {}
+
+    def sieve(self, n: int) -> np.ndarray:
+        """A bit for each of the hashes' low bits; made in the worker."""
+        if n not in self.near:
+            self.near[n] = np.zeros(1 << _BLOOM, bool)
+            self.near[n][self.tables[n][0] & np.uint64((1 << _BLOOM) - 1)] = True
+        return self.near[n]
 
     def __getstate__(self) -> dict:
-        return {"by_length": self.by_length, "tables": {}}
-
-    def find(self, texts: pa.Array, old: list | None = None) -> tuple[list[int], list[list[int]], list[list[str]]]:
+        return self.__dict__ | {"near": {}}
+
+    def same(self, n: int, h: int, words: list[bytes]) -> set[str]:
+        """The items with a window of this hash and these words."""
+        keys, place, of = self.tables[n]
+        found: set[str] = set()
+        for k in range(int(np.searchsorted(keys, np.uint64(h), "left")), int(np.searchsorted(keys, np.uint64(h), "right"))):
+            p, item = int(place[k]), self.items[of[k]]
+            if item not in found and all(self.blob[self.at[p + j] : self.at[p + j + 1]] == words[j] for j in range(n)):
+                found.add(item)
+        return found
+
+    def find(self, texts: pa.Array) -> tuple[list[int], list[list[int]], list[list[str]]]:
         """For each text: number of words, spans of hit words (flat: start, end, start, end ...; merged) and the items that occur."""
         n_words, spans, items = [], [], []
         data, at = T.buffers(texts)
@@ -70,19 +93,22 @@ class Windows:
             n_words += np.diff(bounds).tolist()
             hits: dict[int, list[tuple[int, int]]] = {}
             ids: dict[int, set[str]] = {}
-            for n in self.by_length:
-                keys, near = self.table(n)
+            for n, (keys, _, _) in self.tables.items():
                 w = T.windows(h, n)
-                maybe = np.flatnonzero(near[w & np.uint64((1 << _BLOOM) - 1)] & T.inside(bounds, n))
+                maybe = np.flatnonzero(self.sieve(n)[w & np.uint64((1 << _BLOOM) - 1)] & T.inside(bounds, n))
                 if len(maybe):
                     maybe = maybe[keys[np.minimum(np.searchsorted(keys, w[maybe]), len(keys) - 1)] == w[maybe]]
                 rows = np.searchsorted(bounds, maybe, "right") - 1
                 for row in np.unique(rows).tolist():
                     own = _words(part[cut[row] : cut[row + 1]].tobytes().decode())
                     first = int(bounds[row])
+                    known: dict[int, tuple[list[bytes], set[str]]] = {}
                     for k in maybe[rows == row].tolist():
                         a = k - first
-                        got = self.by_length[n][int(w[k])].get(b" ".join(own[a : a + n]))
+                        words = own[a : a + n]
+                        if known.get(int(w[k]), (None,))[0] != words:
+                            known[int(w[k])] = words, self.same(n, int(w[k]), words)
+                        got = known[int(w[k])][1]
                         if got:
                             hits.setdefault(row, []).append((a, a + n))
                             ids.setdefault(row, set()).update(got)
@@ -102,54 +128,87 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """The benchmark's rows as lists of (item id, text), each at most block_bytes of text (or one item)."""
-    sizes = benchmark.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = -(-sizes // block_bytes)
-    rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    for b in range(n):
-        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)).collect()]
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The benchmark's rows with words as tables (item, text), each with at most block_bytes of text, or with one item.
+
+    Items are dealt by a hash into more and more blocks until none is too large. Rows that repeat an id and a text count once.
+    """
+    rows = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text").distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    while n > 1:
+        block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+        sums = rows.groupBy(block.alias("k")).agg(F.sum(F.octet_length("text")).alias("s"), F.count(F.lit(1)).alias("c"))
+        if not sums.where((F.col("s") > block_bytes) & (F.col("c") > 1)).limit(1).count():
+            return [rows.where(block == r[0]) for r in sums.select("k").orderBy("k").collect()]  # one number for each block
+        n *= 2
+    return [rows] if size else []
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _n_words int, _spans array<int> (hit words, flat and merged) and _items array<string> (ids that occur).
+    """docs with n_words int, spans array<int> (hit words, flat and merged) and items array<string> (ids that occur, sorted).
 
     Null text has no words; a benchmark item without words has no windows; items that repeat an id count once; an item
-    without an id goes by the name "null". Rows of docs that repeat are treated alike.
+    without an id goes by the name "null". Rows of docs that repeat are treated alike; an empty table gives an empty result.
+    Other columns come back as they are; one named as a column of the result with `_in` behind its name.
     """
-    spark = docs.sparkSession
-    out = docs.withColumns({"_n_words": F.lit(0), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")})
-    found = False
-    for rows in blocks(benchmark, block_bytes):
-        found = True
-        out = _pass(spark, out, Windows(rows, window))
-    return out if found else _pass(spark, out, Windows([], window))
-
-
-def _pass(spark: SparkSession, docs: DataFrame, windows: Windows) -> DataFrame:
-    sent = spark.sparkContext.broadcast(windows)
+    out = _found(packed(docs, "doc_id", "text"), benchmark, window, block_bytes)
+    return unpacked(out, docs.columns, ("doc_id", "text"), n_words=F.col("_n_words"), spans=F.col("_spans"), items=F.col("_items"))
+
+
+def _found(own: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """docs as packed, with _n_words, _spans and _items."""
+    parts = blocks(benchmark, block_bytes)
+    if len(parts) <= 1:
+        return _pass(own, Windows([tuple(r) for r in parts[0].collect()] if parts else [], window))
+    with scratch(own.sparkSession):
+        each = None
+        for rows in parts:
+            keyed = own.select(F.xxhash64("text").alias("_th"), F.length("text").alias("_tl"), "text")
+            hit = _pass(keyed, Windows([tuple(r) for r in rows.collect()], window)).where(F.size("_spans") > 0).drop("_n_words", "text")
+            hit = written(hit.groupBy("_th", "_tl").agg(F.first(F.struct("_spans", "_items")).alias("z"), F.count(F.lit(1)).alias("_n")), "windows-hit")
+            each = hit if each is None else each.unionByName(hit)
+        union = each.groupBy("_th", "_tl").agg(F.collect_list("z").alias("z"), F.max("_n").alias("_n"))
+        pairs = F.flatten(F.transform("z", lambda z: F.transform(F.filter(z["_spans"], lambda _, i: i % 2 == 0), lambda a, i: F.struct(a.alias("a"), F.get(z["_spans"], i * 2 + 1).alias("b")))))
+        union = written(union.select("_th", "_tl", "_n", _merged(F.sort_array(pairs)).alias("_spans"), F.sort_array(F.array_distinct(F.flatten(F.transform("z", lambda z: z["_items"])))).alias("_items")), "windows-all", keep=True)
+    counted = _pass(own, Windows([], window)).drop("_spans", "_items")
+    both = spread_join(counted.withColumns({"_th": F.xxhash64("text"), "_tl": F.length("text")}), union, ["_th", "_tl"], how="left").drop("_th", "_tl")
+    return both.withColumns({"_spans": F.coalesce("_spans", F.array().cast("array<int>")), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
+
+
+def _merged(pairs):
+    """Sorted (a, b) as flat, merged bounds."""
+
+    def step(out, p):
+        last = F.element_at(out, -1)
+        joins = (F.size(out) > 0) & (p["a"] <= F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(-1)))
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.greatest(last, p["b"])))).otherwise(F.concat(out, F.array(p["a"], p["b"])))
+
+    return F.aggregate(pairs, F.array().cast("array<int>"), step)
+
+
+def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(windows)
     names = docs.columns
+    schema = docs.withColumns({"_n_words": F.lit(0), "_spans": F.array().cast("array<int>"), "_items": F.array().cast("array<string>")}).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, spans, items = sent.value.find(batch.column(names.index("text")))
-            before_spans, before_items = batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist()
-            spans = [s if not o else merged([*zip(s[::2], s[1::2], strict=True), *zip(o[::2], o[1::2], strict=True)]) for s, o in zip(spans, before_spans, strict=True)]
-            items = [i if not o else sorted({*i, *o}) for i, o in zip(items, before_items, strict=True)]
             new = [pa.array(n, pa.int32()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "_n_words", "_spans", "_items"])
 
-    return docs.mapInArrow(step, docs.schema)
+    return docs.mapInArrow(step, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the benchmark's passages: hit words go with what stands between them; a document of which more than max_share is hit goes whole.
 
-    The columns are those of docs.
+    The columns are those of docs, of any name. See find_hits for nulls, empty tables and repeated rows.
     """
-    hits = find_hits(docs, benchmark, window, block_bytes)
+    hits = _found(packed(docs, "doc_id", "text"), benchmark, window, block_bytes)
     hit = F.aggregate("_spans", F.lit(0), lambda a, x: x - a)  # ends minus starts: x - a alternates the sign
-    kept = hits.withColumn("_hit", hit).where((F.col("_hit") == 0) | (F.col("_hit") <= max_share * F.col("_n_words")))
+    kept = hits.withColumn("_hit", hit).where((F.col("_hit") == 0) | (F.col("_hit") <= max_share * F.col("_n_words"))).drop("_items", "_n_words", "_hit")
     names = kept.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5,
             columns = [pa.array(texts, batch.column(j).type) if c == "text" else batch.column(j) for j, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    touched = kept.mapInArrow(cut, kept.schema)
-    return touched.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(kept.mapInArrow(cut, kept.schema), docs.columns, ("doc_id", "text"))
 
 
 def without(text: str, spans: list[int]) -> str:
@@ -178,10 +236,10 @@ def without(text: str, spans: list[int]) -> str:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = F.aggregate("_spans", F.lit(0), lambda a, x: x - a)
+    hit = F.aggregate("spans", F.lit(0), lambda a, x: x - a)
     return hits.select(
-        "doc_id", F.col("_n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
 
 
