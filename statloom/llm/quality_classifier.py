@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import textscan as T
-from statloom.llm.common import fold, held_out, table
+from statloom.llm.common import fold, held_out, packed, table, unpacked
 
 SAMPLE = 4000
 CHAIN = 64  # lines of a training chain; longer documents are several chains
@@ -169,7 +169,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     drawn = known.where(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(float(1 << 53)) < min(1.0, sample / max(n, 1)))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")  # about `sample` rows of two numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about `sample` rows of two numbers
+    # however often a row or an id is repeated, each id gives one text: the one with the least hash
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("z"))
+    return one.select(F.col("doc_id").cast("long").alias("doc_id"), "z.text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
@@ -199,18 +202,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with score. Null and empty texts are one empty line; rows that repeat get the same score."""
+    """docs with score. Null and empty texts are one empty line; rows that repeat get the same score; an empty table gives an empty result.
+
+    Other columns come back as they are, one named score as score_in.
+    """
+    own = packed(docs, "text")
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    names = docs.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0)]
-            for _, _, x, lengths, bounds in line_features(batch.column(names.index("text"))):
+            for _, _, x, lengths, bounds in line_features(batch.column(0)):
                 found.append(sent.value.score(in_context(x, bounds), lengths, bounds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=["text", "_rest", "_score"])
 
-    return docs.mapInArrow(step, docs.withColumn("score", F.lit(0.0)).schema)
+    return unpacked(own.mapInArrow(step, own.withColumn("_score", F.lit(0.0)).schema), docs.columns, ("text",), score=F.col("_score"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
