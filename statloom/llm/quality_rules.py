@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statloom.llm.common import SPACE, SPACES, table, words, written
+from statloom.llm.common import SPACE, SPACES, packed, scratch, spread_join, table, unpacked, words, written
 
 MIN_WORDS = 10
 REPEATED_PERCENT = 20
@@ -61,7 +61,11 @@ def normalised(line):
 
 def _keys(docs: DataFrame) -> list:
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("_id"), own.alias("_th"), F.col("source").alias("_host")]
+    host = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source"), F.lit("")))  # a null source is a host of its own
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("_id"), own.alias("_th"), host.alias("_host")]
+
+
+KEYS = ["_id", "_th", "_host"]
 
 
 def host_lines(docs: DataFrame) -> DataFrame:
@@ -74,38 +78,48 @@ def host_lines(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(lines: DataFrame, base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_host, h, n_docs) of the lines above their host's limit. base: one row (_id, _th, _host) for each document."""
-    hosts = base.groupBy(F.col("_host").alias("_of")).agg(F.count(F.lit(1)).alias("host_docs"))
-    counts = lines.select("_id", "_th", "_host", "h").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
+    hosts = base.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("_host", "_of")
+    counts = lines.select(*KEYS, "h").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
     few = counts.where(F.col("n_docs") > min_docs)
-    return few.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(F.col("n_docs") > max_share * F.col("host_docs")).select("_host", "h", "n_docs")
+    return few.join(hosts, F.col("_host") == F.col("_of")).where(F.col("n_docs") > max_share * F.col("host_docs")).select("_host", "h", "n_docs")
 
 
 def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
     """One row for each row of docs: doc_id, the base metrics, n_removed_lines, n_removed_words, kept, and removed (hashes of the lines that go)."""
-    base = written(base_metrics(docs.select("doc_id", "source", "text")).select("doc_id", *_keys(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), "rules-base")
-    lines = written(host_lines(docs), "rules-lines")
-    over = written(frequent_lines(lines, base.select("_id", "_th", "_host").distinct(), min_docs, max_share), "rules-over")
-    o = over.select(F.col("_host").alias("_oh"), F.col("h").alias("_o"))
-    gone = (
-        lines.join(o, (F.col("h") == F.col("_o")) & F.col("_host").eqNullSafe(F.col("_oh")))
-        .groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), F.col("_host").alias("_gh"))
-        .agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("n").alias("n_removed_words"), F.collect_set("h").alias("removed"))
-    )
-    df = base.join(gone, (F.col("_id") == F.col("_gid")) & (F.col("_th") == F.col("_gth")) & F.col("_host").eqNullSafe(F.col("_gh")), "left")
+    with scratch(docs.sparkSession):
+        base, gone = _judged(docs, min_docs, max_share)
+        gone = written(gone, "rules-gone", keep=True)
+    df = spread_join(base, gone, KEYS, how="left")
     df = df.withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)).cast("long")).withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < min_left) | (left < min_left_share * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_gid", "_gth", "_gh")
+    return df.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def _judged(docs: DataFrame, min_docs: int, max_share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with their base metrics, and for each document that loses lines: which, and how many rows it has (_n)."""
+    base = written(base_metrics(docs.select("doc_id", "source", "text")).select("doc_id", *_keys(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), "rules-base", keep=True)
+    lines = written(host_lines(docs), "rules-lines")
+    each = written(base.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "rules-documents")
+    over = written(frequent_lines(lines, each, min_docs, max_share).withColumnRenamed("n_docs", "_n"), "rules-over")
+    gone = spread_join(lines, over, ["_host", "h"]).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("n").alias("n_removed_words"), F.collect_set("h").alias("removed"))
+    rows = each.select(*[F.col(k).alias(f"_{k}") for k in KEYS], "_n")
+    on = [F.col(k) == F.col(f"_{k}") for k in KEYS]
+    return base, gone.join(rows, on).drop(*[f"_{k}" for k in KEYS])
 
 
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
-    """docs without the lines above the limits and without the rejected documents; the columns are those of docs."""
-    v = verdicts(docs, **limits).where("kept").select(F.col("_id").alias("_vid"), F.col("_th").alias("_vth"), F.col("_host").alias("_vh"), "removed").dropDuplicates(["_vid", "_vth", "_vh"])
-    k_id, k_th, k_host = _keys(docs)
-    keep = F.filter(F.split(F.col("text"), "\n", -1), lambda s: ~F.array_contains(F.coalesce(F.col("removed"), F.array().cast("array<bigint>")), F.xxhash64(normalised(s))))
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    both = docs.withColumns({"_id": k_id, "_th": k_th, "_host": k_host}).join(v, (F.col("_id") == F.col("_vid")) & (F.col("_th") == F.col("_vth")) & F.col("_host").eqNullSafe(F.col("_vh")))
-    return both.select(*own, F.array_join(keep, "\n").alias("text")).select(*[f"`{c}`" for c in docs.columns])
+    """docs without the lines above the limits and without the rejected documents; the columns are those of docs, of any name.
+
+    Null text fails the base rules, so such rows go; an empty table gives an empty result.
+    """
+    with scratch(docs.sparkSession):
+        v = verdicts(docs, **limits).where("kept").groupBy(*KEYS).agg(F.first("removed").alias("_removed"), F.count(F.lit(1)).alias("_n"))
+        v = written(v.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<bigint>"))), "rules-kept", keep=True)
+    own = packed(docs, "doc_id", "source", "text")
+    keep = F.filter(F.split(F.col("text"), "\n", -1), lambda s: ~F.array_contains(F.col("_removed"), F.xxhash64(normalised(s))))
+    both = spread_join(own.select("*", *_keys(own)), v, KEYS)
+    return unpacked(both.withColumn("text", F.array_join(keep, "\n")), docs.columns, ("doc_id", "source", "text"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
