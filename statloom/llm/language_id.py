@@ -5,13 +5,15 @@ ways to cut it into pieces, by a forward algorithm over its bytes; a text is sco
 probabilities come from expectation maximisation (forward and backward) on a bounded sample of labelled rows.
 
 Text is lower-cased; whatever is no letter or mark parts words. A word begins with one space byte, as the vocabulary has
-it. Single bytes are pieces too, so that every text has a probability. Words of more than CUT bytes are scored in parts of
-CUT bytes. Pieces that no segmentation of a sampled word can use are left out: they would weigh the same in each language.
+it. The vocabulary is that of a public tokenizer, whole, but for pieces that hold anything else than letters and marks, which no
+word can use. Single bytes are pieces too, so that every text has a probability. Words of any length are scored whole; where
+the sum of a long word would vanish it is scaled and the scale's logarithm kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,36 +22,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import textscan as T
-from statloom.llm.common import fold, held_out, table
+from statloom.llm.common import fold, held_out, packed, table, unpacked
 
+#: Where the vocabulary is, unless the session's `spark.statloom.vocabulary` says so.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: About so many labelled rows of each language are sampled for the fit.
 PER_LANG = 300
 ROUNDS = 4
-CUT = 48
-LONGEST = 16
 FLOOR = 1e-6
+#: Sums under TINY are scaled by 1 / TINY, every STRIDE bytes: one byte costs FLOOR / 2 at least, so none vanishes in between.
+TINY, STRIDE = 1e-120, 16
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[32] = False
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """The pieces as bytes, with a space for the mark of a word's start; lower-cased letters only, and all single bytes."""
+    """The pieces as bytes, with a space for the mark of a word's start; lower-cased letters and marks only, and all single bytes that these can have."""
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; set spark.statloom.vocabulary to a sentencepiece model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found = {bytes([b]) for b in range(256)}
+    found = {bytes([b]) for b in (32, *range(97, 123), *range(128, 256))}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
         bare = piece.lstrip("▁")
-        if bare.isalpha() and len(piece) - len(bare) <= 1:
+        if bare and all(unicodedata.category(c)[0] in "LM" for c in bare) and len(piece) - len(bare) <= 1:
             found.add((" " * (len(piece) - len(bare)) + bare).encode())
-    return sorted(x for x in found if len(x) <= LONGEST)
+    return sorted(found)
 
 
 class Unigrams:
     def __init__(self, pieces: list[bytes], langs: list[str]):
         self.pieces, self.langs = pieces, langs
+        self.longest = max(map(len, pieces))
         seen = sorted({b for p in pieces for b in p})
         self.code = np.zeros(256, np.uint8)
         self.code[seen] = np.arange(len(seen), dtype=np.uint8)
@@ -73,16 +79,25 @@ class Unigrams:
         self.piece = np.array(ends, np.int32)
         self.p = np.full((len(pieces), len(langs)), 1 / len(pieces))
 
-    def _forward(self, chars: np.ndarray, lens: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """chars: [longest, words], words in order of falling length. alpha, and its last value for each word."""
+    def _forward(self, chars: np.ndarray, lens: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """chars: [longest, words], words in order of falling length. alpha [longest + 1, words, languages], the logarithm of what it was
+        scaled by [longest + 1, words], and the logarithm of its last value for each word."""
         longest, n = chars.shape
         alpha = np.zeros((longest + 1, n, len(self.langs)))
+        scale = np.zeros((longest + 1, n))
         alpha[0] = 1
         reach = np.searchsorted(-lens, -np.arange(longest + 2), "right")  # words with at least so many bytes
         for s in range(longest):
-            at = np.arange(reach[s + 1])
+            live_words = reach[s + 1]
+            if s and s % STRIDE == 0:
+                ahead = alpha[s : s + self.longest, :live_words]
+                low = np.flatnonzero(ahead.max((0, 2)) < TINY)
+                if len(low):
+                    alpha[s : s + self.longest, low] /= TINY
+                    scale[s:, low] += np.log(TINY)
+            at = np.arange(live_words)
             node = np.zeros(len(at), np.int32)
-            for m in range(1, min(LONGEST, longest - s) + 1):
+            for m in range(1, min(self.longest, longest - s) + 1):
                 most = np.searchsorted(at, reach[s + m])
                 at, node = at[:most], node[:most]
                 node = self.next[node * self.width + chars[s + m - 1, at]]
@@ -97,25 +112,29 @@ class Unigrams:
                     alpha[s + m, who] += alpha[s, who] * self.p[which]
                     if keep is not None:
                         keep.append((s, m, who, which))
-        return alpha, alpha[lens, np.arange(n)]
+        every = np.arange(n)
+        return alpha, scale, np.log(np.maximum(alpha[lens, every], 1e-300)) + scale[lens, every][:, None]
 
     def blocks(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, chars, lens) of words given as (data, starts, ends), by falling length."""
+        """(places, chars, lens) of words given as (data, starts, ends), by falling length; about 16 MB of sums at once, or one word."""
         data, starts, ends = words
         lens = ends - starts
         order = np.argsort(-lens, kind="stable")
-        size = max(256, 2_000_000 // ((CUT + 1) * len(self.langs)))
-        for lo in range(0, len(order), size):
-            own = order[lo : lo + size]
-            longest = int(lens[own[0]])
+        lo = 0
+        while lo < len(order):
+            longest = int(lens[order[lo]])
+            own = order[lo : lo + max(1, 2_000_000 // ((longest + 1) * (len(self.langs) + 1)))]
+            # a block spans no more than a factor of two in length, so short words do not fill the places of long ones
+            own = own[: np.searchsorted(-lens[own], -(longest // 2), "right")] if longest > 32 else own
             places = np.minimum(starts[own] + np.arange(longest)[:, None], len(data) - 1)
             yield own, self.code[data[places]], lens[own]
+            lo += len(own)
 
     def score(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-probability of each word in each language."""
         out = np.zeros((len(starts), len(self.langs)))
         for own, chars, lens in self.blocks((data, starts, ends)):
-            out[own] = np.log(np.maximum(self._forward(chars, lens)[1], 1e-300))
+            out[own] = self._forward(chars, lens)[2]
         return out
 
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
@@ -123,14 +142,15 @@ class Unigrams:
         found = np.zeros_like(self.p)
         for own, chars, lens in self.blocks((data, starts, ends)):
             keep: list = []
-            alpha, z = self._forward(chars, lens, keep)
+            alpha, scale, z = self._forward(chars, lens, keep)
+            # beta at a place is scaled so that alpha * beta there is the word's probability by its own scale
             beta = np.zeros_like(alpha)
-            beta[lens, np.arange(len(lens))] = 1
-            share = counts[own] / np.maximum(z, 1e-300)
+            every = np.arange(len(lens))
+            beta[lens, every] = np.exp(np.minimum(scale[lens, every][:, None] - z, 700))
             for s, m, who, which in reversed(keep):
-                part = self.p[which] * beta[s + m, who]
+                part = self.p[which] * beta[s + m, who] * np.exp(scale[s, who] - scale[s + m, who])[:, None]
                 beta[s, who] += part
-                got = alpha[s, who] * part * share[who]
+                got = alpha[s, who] * part * counts[own][who]
                 for k in range(len(self.langs)):
                     found[:, k] += np.bincount(which, got[:, k], len(found))
         found /= np.maximum(found.sum(0), 1e-300)
@@ -144,67 +164,57 @@ def cleaned(text: Column) -> Column:
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans of words with the space before them, in parts of at most CUT bytes."""
+    """Spans of words with the space before them."""
     s, e = T.spans(data, at, NOT_SPACE)
-    s = s - 1
-    parts = -(-(e - s) // CUT)
-    if len(parts) and parts.max() > 1:
-        first = np.repeat(s, parts)
-        k = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
-        e = np.minimum(first + (k + 1) * CUT, np.repeat(e, parts))
-        s = first + k * CUT
-    return s, e
-
-
-def fit(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> Unigrams | None:
-    """Learn from about per_lang rows of each language among rows with a language and a fold other than 0; None if there are none."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    sizes = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
+    return s - 1, e
+
+
+def fit(docs: DataFrame, path: str | None = None, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> Unigrams | None:
+    """Learn from about per_lang distinct texts of each language among rows with a language and a fold other than 0; None if there are none.
+
+    What reaches the driver is a count for each language and distinct word of this sample.
+    """
+    path = path or docs.sparkSession.conf.get("spark.statloom.vocabulary", VOCABULARY)
+    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("lang", "text", F.xxhash64(F.lit(10), "text").alias("h"))
+    sizes = {r[0]: r[1] for r in train.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(10), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / sizes[x]))) for x in langs])
-    rows = train.where(draw < chance).select("lang", cleaned(F.col("text")).alias("text")).collect()
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in rows:
-        counts[lang].update(text.split(" "))
-    words = sorted({w for c in counts.values() for w in c if w})
-    data = np.frombuffer("".join(" " + w for w in words).encode() or b" ", np.uint8)
-    parts_s, parts_e = word_spans(data, np.array([0, len(data)]))
-    owner = np.cumsum(data[parts_s] == 32) - 1
-    weights = np.array([[counts[lang][w] for lang in langs] for w in words], float).reshape(len(words), len(langs))[owner]
-    whole = Unigrams(vocabulary(path), langs)
-    used = np.zeros(len(whole.pieces), bool)
-    for _, chars, lens in whole.blocks((data, parts_s, parts_e)):
-        keep: list = []
-        whole._forward(chars, lens, keep)
-        for _, _, _, which in keep:
-            used[which] = True
-    model = Unigrams([p for p, u in zip(whole.pieces, used, strict=True) if u or len(p) == 1], langs)
+    draw = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    chance = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / max(sizes[x], 1)))) for x in langs])
+    drawn = train.where(draw < chance).dropDuplicates(["lang", "h"]).select("lang", F.explode(F.split(cleaned(F.col("text")), " ")).alias("word")).where("word <> ''")
+    counted = drawn.groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    words = sorted({r.word for r in counted})
+    if not words:
+        return None
+    place, column = {w: k for k, w in enumerate(words)}, {x: k for k, x in enumerate(langs)}
+    weights = np.zeros((len(words), len(langs)))
+    for r in counted:
+        weights[place[r.word], column[r.lang]] = r.n
+    data = np.frombuffer("".join(" " + w for w in words).encode(), np.uint8)
+    starts, ends = word_spans(data, np.array([0, len(data)]))
+    model = Unigrams(vocabulary(path), langs)
     for _ in range(rounds):
-        model.learn(data, parts_s, parts_e, weights)
+        model.learn(data, starts, ends, weights)
     return model
 
 
 def identify(docs: DataFrame, model: Unigrams | None) -> DataFrame:
-    """docs with lang_pred and score (the posterior of lang_pred under equal priors).
+    """docs with lang_pred and score (the posterior of lang_pred under equal priors), without text.
 
     `und` with score 0 where text is null or has no letter, or where there was nothing to learn from. Whole texts are
-    scored; rows that repeat get the same answer; ties go to the first language by code point.
+    scored; rows that repeat get the same answer; ties go to the first language by code point; an empty table gives an empty
+    result. Other columns come back as they are; one named lang_pred or score with `_in` behind its name.
     """
-    spark = docs.sparkSession
-    ready = docs.withColumn("_clean", F.when(F.col("text").rlike(r"\p{L}"), cleaned(F.col("text"))))
-    kept = [c for c in docs.columns if c != "text"]
-    ready = ready.select(*[F.col(f"`{c}`") for c in kept], "_clean")
-    schema = ready.drop("_clean").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    sent = spark.sparkContext.broadcast(model)
+    own = packed(docs, "text").select(F.when(F.col("text").rlike(r"\p{L}"), cleaned(F.col("text"))).alias("clean"), "_rest")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    schema = own.drop("clean").withColumns({"_pred": F.lit(""), "_score": F.lit(0.0)}).schema
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             pred, sure = [], []
-            data, at = T.buffers(batch.column(len(kept)))
+            data, at = T.buffers(batch.column(0))
             for lo, hi in T.groups(at, 1 << 22) if m else [(0, batch.num_rows)]:
                 total = np.zeros((hi - lo, len(m.langs) if m else 1))
                 if m:
@@ -224,9 +234,9 @@ def identify(docs: DataFrame, model: Unigrams | None) -> DataFrame:
                 else:
                     pred += ["und"] * (hi - lo)
                     sure += [0.0] * (hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=["_rest", "_pred", "_score"])
 
-    return ready.mapInArrow(step, schema)
+    return unpacked(own.mapInArrow(step, schema), [c for c in docs.columns if c != "text"], (), lang_pred=F.col("_pred"), score=F.col("_score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
