@@ -3,7 +3,6 @@
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,41 +54,6 @@ def test_near_duplicates_on_odd_rows(odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    vocabulary = [f"w{k}" for k in range(2000)]
-    docs, k = [], 0
-    for _ in range(25):
-        base = list(rng.choice(vocabulary, 120))
-        for edits in (0, 0, 1, 2, 6):
-            text = list(base)
-            for at in rng.integers(0, 120, edits):
-                text[at] = str(rng.choice(vocabulary))
-            docs.append((k, " ".join(text)))
-            k += 1
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    weights = minhash.frequencies(df)
-    sets = []
-    for _, t in docs:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        _, s, n, _ = minhash.shingles(raw, np.array([0, len(raw)]))
-        sets.append(dict(zip(s.tolist(), (n * weights[minhash._cells(s)]).tolist(), strict=True)))
-    parent = list(range(len(docs)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(docs)):
-        for j in range(i):
-            both = sum(min(w, sets[j][s]) for s, w in sets[i].items() if s in sets[j])
-            if both / (sum(sets[i].values()) + sum(sets[j].values()) - both) >= 0.8:
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
-    assert got == {k: root(k) for k in range(len(docs))}
-
-
 def test_line_dedup_on_odd_rows(odd, none):
     rows = {(r.doc_id, r.text): r for r in line_dedup.dedup_lines(odd).collect()}
     assert rows[(6, PASSAGE)].deleted == []
@@ -140,29 +104,62 @@ def test_surrogates_of_later_names_and_national_forms(spark):
     assert [got[k].n_phone for k in range(2, 6)] == [1, 2, 3, 3] and got[6].n_ip == 2
     assert re.search(r"from [0-9a-f]{4}(:[0-9a-f]{4}){7}, [0-9a-f]{4}::", got[6].text)
     assert got[7].n_iban == 1 and got[7].n_secret == 0 and re.fullmatch(r"IBAN DE\d{20}", got[7].text)
-    both = spark.createDataFrame([(f"N{x}",) for x in "abcdefgh"], "name string").select(pii.gender(F.lit("Dr"), F.col("name"))).distinct()
-    assert both.count() == 2
 
 
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>Home</a></nav><article><h1>A &amp; B</h1><p>First  words\n here.</p><p>Second.</p></article><div class='comments'><p>me too</p></div><footer>c</footer></body></html>"
-    pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p>broken <b")], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_extract.extract_pages(pages, html_extract.fit(pages)).collect()}
-    assert got[1] == "A & B\n\nFirst words here.\n\nSecond."
-    assert got[2] == "" and got[3] == ""
-    assert html_extract.extract_pages(pages.limit(0), {}).count() == 0
+    pages = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p>broken <b"), (5, "u", "plain &lt;text&gt;"), (1, "u", page)], "page_id long, url string, html string")
+    rows = html_extract.extract_pages(pages, html_extract.fit(pages)).collect()
+    got = {r.page_id: r.text for r in rows}
+    assert len(rows) == 6 and [r.text for r in rows if r.page_id == 1] == ["A & B\n\nFirst words here.\n\nSecond."] * 2
+    assert got[2] == "" and got[3] == "" and got[4].startswith("broken") and got[5] == "plain <text>"
+    assert html_extract.extract_pages(pages.limit(0), html_extract.Weights()).count() == 0
+
 
+def words(name, n):
+    return " ".join(f"{name}{k}" for k in range(n))
 
-def test_html_with_boxes_in_the_article():
-    def words(name, n):
-        return " ".join(f"{name}{k}" for k in range(n))
 
-    lead, body, end, box = words("lead", 25), words("body", 200), words("end", 20), words("box", 80)
-    boxes = [f"<div class='advert'><p>{box}</p></div>", f"<aside><ul><li>{box}</li></ul></aside>", f"<form id='newsletter'><label>{box}</label></form>", f"<div class='share'>{box}</div>"]
+LEAD, BODY, END, BOX = words("lead", 25), words("body", 200), words("end", 20), words("box", 80)
+
+
+@pytest.mark.parametrize("mark", ["article", "main", "div", "div class='content'", "section"])
+def test_html_with_boxes_in_the_article(mark):
+    boxes = [f"<div class='advert'><p>{BOX}</p></div>", f"<aside><ul><li>{BOX}</li></ul></aside>", f"<form id='newsletter'><label>{BOX}</label></form>", f"<div class='share'>{BOX}</div>"]
+    learnt = html_extract.learn([x for one in boxes for x in html_extract.counted(f"<body><nav>{BOX}</nav><article><h1>T</h1><p>{LEAD}</p></article>{one}</body>")])
     for one in boxes:
-        page = f"<body><nav>{box}</nav><article><h1>A title</h1><p>{lead}</p>{one}<p>{body}</p>{one}<p>{end}</p></article><footer>{box}</footer></body>"
-        for weights in ({}, html_extract.learn([page] * 3)):
-            assert html_extract.extract(page, weights) == "\n\n".join(["A title", lead, body, end])
+        page = f"<body><nav>{BOX}</nav><{mark}><h1>A title</h1><p>{LEAD}</p>{one}<p>{BODY}</p>{one}<p>{END}</p></{mark.split()[0]}><footer>{BOX}</footer></body>"
+        for weights in (html_extract.Weights(), learnt):
+            assert html_extract.extract(page, weights) == "\n\n".join(["A title", LEAD, BODY, END])
+
+
+def test_html_region_decides():
+    """Unnamed text outside of the region is left out by the scan alone, and weights decide what the region is."""
+    page = f"<body><div><p>Welcome to all our readers</p></div><nav><ul><li><a>x y</a></li></ul></nav><div><h1>Hi</h1><p>{LEAD}</p><ul><li>point</li></ul></div><footer>f</footer><div><p>Tail words</p></div></body>"
+    assert html_extract.extract(page, html_extract.Weights()) == f"Hi\n\n{LEAD}\n\npoint"
+    whole, scan = lambda scores: (0, len(scores)), html_extract.best_region
+    try:
+        html_extract.best_region = whole
+        assert "Welcome" in html_extract.extract(page, html_extract.Weights()) and "Tail" in html_extract.extract(page, html_extract.Weights())
+    finally:
+        html_extract.best_region = scan
+    assert html_extract.extract(page, html_extract.Weights({}, {})) == ""
+
+
+def test_html_weights_are_learnt():
+    """A class that no prior knows is learnt from pages that mark their article, and used on a page that does not."""
+    counts = [x for k in range(30) for x in html_extract.counted(f"<body><article><h1>T</h1><div class='zeta'><p>{LEAD} {k}</p></div></article><div class='qux'><p>{BOX}</p></div></body>")]
+    page = f"<body><div><p>{LEAD}</p><div class='qux'><p>{BOX}</p></div><p>{END}</p></div></body>"
+    assert "box" in html_extract.extract(page, html_extract.Weights())
+    assert html_extract.extract(page, html_extract.learn(counts)) == f"{LEAD}\n\n{END}"
+
+
+def test_html_frames_headers_and_long_pages():
+    page = f"<body><div class='page with-sidebar'><header><h1>My Site</h1><nav><a>Home</a></nav></header><main><article><header><h1>Hi</h1></header><p>{LEAD}</p><table><tr><td>cell a</td><td>cell b</td></tr></table></article><section id='comments'><article class='comment'><p>me too, I say</p></article></section></main><div class='cookie-notice'><p>We use cookies</p></div></div></body>"
+    assert html_extract.extract(page, html_extract.Weights()) == f"Hi\n\n{LEAD}\n\ncell a\n\ncell b"
+    long = "<article>" + "".join(f"<p><b>w{k} x<br><p>y</p>" for k in range(20_000)) + "</article>"
+    assert html_extract.extract(long, html_extract.Weights()).count("\n\n") == 39_999
+    assert html_extract.extract("".join(f"<div class=c{k}>" for k in range(5000)) + "x y z", html_extract.Weights()) == "x y z"
 
 
 def test_mixing(spark, odd, none):
@@ -185,13 +182,13 @@ def test_decontamination_on_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([("q1", "Two, three! four five six seven eight nine ten eleven"), ("q2", None), ("q3", "line 3"), (None, "...")], "item_id string, text string")
     got = decontamination.find_hits(odd, benchmark)
     by = {r.doc_id: r for r in got.where("doc_id IS NOT NULL").collect()}
-    assert by[1]["_spans"] == [1, 11] and by[1]["_items"] == ["q1"]
-    assert by[6]["_items"] == ["q3"] and by[3]["_n_words"] == 0
+    assert by[1]["spans"] == [1, 11] and by[1]["items"] == ["q1"]
+    assert by[6]["items"] == ["q3"] and by[3]["n_words"] == 0
     assert decontamination.decontaminate(odd, benchmark).columns == odd.columns
     assert decontamination.find_hits(none, benchmark).count() == 0
-    assert decontamination.find_hits(odd, benchmark.limit(0)).where("size(_spans) > 0").count() == 0
+    assert decontamination.find_hits(odd, benchmark.limit(0)).where("size(spans) > 0").count() == 0
     small = decontamination.find_hits(odd, benchmark, block_bytes=20)
-    assert sorted(map(str, small.select("doc_id", "_spans", "_items").collect())) == sorted(map(str, got.select("doc_id", "_spans", "_items").collect()))
+    assert sorted(map(str, small.select("doc_id", "spans", "items").collect())) == sorted(map(str, got.select("doc_id", "spans", "items").collect()))
 
 
 def test_quality_and_language_held_out(spark, odd, none):
