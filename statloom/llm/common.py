@@ -90,11 +90,12 @@ def unpacked(df: DataFrame, columns: list[str], needed: tuple[str, ...], **added
     return df.select(*out, *[(F.col(k) if v is None else v).alias(k) for k, v in added.items()])
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "_n", how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "_n", how: str = "inner", large: bool = False) -> DataFrame:
     """left joined with right on keys that are unique in right. n: how many rows of left a row of right meets (a column that goes).
 
     Rows of hot keys take their partner from a broadcast of fewer than HOT rows and are dealt by a hash of the whole row, so no
-    key gathers in one task. right must be a written table. Null keys meet nothing.
+    key gathers in one task. right must be a written table. Null keys meet nothing. large: right grows with the input, so it is
+    sorted and merged at every size and never broadcast.
     """
     total = right.agg(F.sum(n)).head()[0] or 0
     payload = [c for c in right.columns if c not in (*keys, n)]
@@ -108,6 +109,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "_n
     salt = F.when(F.col("_hot"), F.xxhash64(F.monotonically_increasing_id())).cast("string")
     met = met.withColumn("_salt", F.coalesce(salt, F.lit("")))
     cold = cold.withColumn("_c_salt", F.lit(""))
+    cold = cold.hint("merge") if large else cold
     both = met.join(cold, on & (F.col("_salt") == F.col("_c_salt")), "left")
     if how == "inner":
         both = both.where(F.col("_hot") | F.col("_cold"))

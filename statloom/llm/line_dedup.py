@@ -32,7 +32,7 @@ def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
     """pairs with r, the rank of `by` in order of `by`, for classes of two rows or more; the others leave. A very common class is spread over tasks."""
     classes = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     ranks = written(classes.orderBy(*by).withColumn("r", F.monotonically_increasing_id()), "lines-ranks")
-    return spread_join(pairs, ranks, by).drop(*by)
+    return spread_join(pairs, ranks, by, large=True).drop(*by)
 
 
 def _runs(repeated: DataFrame, min_words: int) -> DataFrame:
@@ -87,7 +87,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         own = own.join(at("r2"), here & (F.col("start") + F.col("len") - width == F.col("_p"))).drop("_i", "_t", "_p")
         own = written(own, "lines-depth")
         first = own.groupBy("len", "r1", "r2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*DOC, "start")).alias("first")).where("_n > 1")
-        later = spread_join(own, written(first, "lines-first"), ["len", "r1", "r2"]).where(F.struct(*DOC, "start") > F.col("first"))
+        later = spread_join(own, written(first, "lines-first"), ["len", "r1", "r2"], large=True).where(F.struct(*DOC, "start") > F.col("first"))
         found.append(later.select(*DOC, "start", "len"))
         if 2 * width > longest:
             break
@@ -118,10 +118,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     prints = keyed.select(*DOC, F.xxhash64(F.lit(2), "text").alias("_th2"), word_count(F.col("text")).alias("n"))
     prints = written(prints.groupBy(*DOC, "_th2", "n").agg(F.count(F.lit(1)).alias("rows")), "lines-docs")
     first = written(prints.groupBy("_th", "_th2").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "lines-equal")
-    copies = written(spread_join(prints, first, ["_th", "_th2"]).where(F.col("_id") > F.col("first")).select(*DOC, "n"), "lines-copies")
+    copies = written(spread_join(prints, first, ["_th", "_th2"], large=True).where(F.col("_id") > F.col("first")).select(*DOC, "n"), "lines-copies")
     # only where rows repeat must they be made distinct, which moves every text
     once = keyed.select(*DOC, "text").dropDuplicates(DOC) if prints.where("rows > 1").limit(1).count() else keyed.select(*DOC, "text")
-    spans = merged(repeated_spans(once.join(copies.select(*DOC), DOC, "left_anti"), min_words))
+    spans = merged(repeated_spans(once.join(copies.select(*DOC).hint("merge"), DOC, "left_anti"), min_words))
     parts = spans.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("gone"))
     whole = copies.where(F.col("n") >= min_words).select(*DOC, F.lit(True).alias("whole"), F.array().cast("array<struct<start:int,end:int>>").alias("gone"))
     rows = prints.select(F.col("_id").alias("_pi"), F.col("_th").alias("_pt"), F.col("rows").alias("_n"))
@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with scratch(docs.sparkSession):
         gone = written(later_copies(docs, min_words), "lines-gone", keep=True)
     own = _keys(packed(docs, "doc_id", "text"))
-    both = spread_join(own, gone, DOC, how="left")
+    both = spread_join(own, gone, DOC, how="left", large=True)
     both = both.withColumn("_lines", F.when(F.col("text").isNotNull(), F.split("text", "\n", -1)))
     every = F.sequence(F.lit(0), F.size("_lines") - 1)
     numbers = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["end"] - 1)))

@@ -284,7 +284,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
 def _several(members: DataFrame) -> DataFrame:
     """The members of buckets with more than one."""
     shared = written(members.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "near-shared")
-    return spread_join(members, shared, ["b"])
+    return spread_join(members, shared, ["b"], large=True)
 
 
 def _open(m: DataFrame, least: float) -> DataFrame:
@@ -327,7 +327,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     members = written(_several(kept), "near-members")
     wanted = members.select(F.col("v").alias("_v")).distinct().join(texts.select("v", "id", "th", F.col("n").alias("_n")), F.col("v") == F.col("_v")).drop("_v")
     own = _keyed(docs).where(F.col("text").isNotNull())
-    candidates = written(spread_join(own, written(wanted, "near-wanted"), ["id", "th"]).select("v", "text").dropDuplicates(["v"]), "near-candidates")
+    candidates = written(spread_join(own, written(wanted, "near-wanted"), ["id", "th"], large=True).select("v", "text").dropDuplicates(["v"]), "near-candidates")
     alone = unshared(candidates, weights).withColumnRenamed("v", "_v")
     able = candidates.select("v").join(texts.select(F.col("v").alias("_t"), "w"), F.col("v") == F.col("_t")).drop("_t")
     able = able.join(alone, F.col("v") == F.col("_v"), "left").select(F.col("v").alias("_v"), "w", (F.col("w") - F.coalesce("u", F.lit(0.0))).alias("s"))
@@ -379,8 +379,8 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     of = of.withColumn("c", F.col("v")) if label is None else of.join(label.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("c", F.coalesce("c", "v")).drop("_v")
     of = written(of, "near-of")
     sizes = written(of.groupBy("c").agg(F.min(F.struct("id", "th")).alias("low"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("_n")), "near-sizes")
-    of = written(spread_join(of, sizes, ["c"]).select("f1", "f2", "low", "class_size", F.col("copies").alias("_n")), "near-low")
-    out = spread_join(each.drop("k"), of, ["f1", "f2"])
+    of = written(spread_join(of, sizes, ["c"], large=True).select("f1", "f2", "low", "class_size", F.col("copies").alias("_n")), "near-low")
+    out = spread_join(each.drop("k"), of, ["f1", "f2"], large=True)
     return out.select("id", "th", "n", F.col("low.id").alias("class_id"), "class_size", (F.struct("id", "th") == F.col("low")).alias("first"))
 
 
@@ -390,7 +390,7 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     f = found.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("n").alias("_rows"), F.col("n").alias("_n"), F.struct("class_id", "class_size", "first").alias("_k"))
     own = packed(docs, "doc_id", "text").withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     has = own.where(F.col("text").isNotNull()).withColumn("_t", F.xxhash64("text"))
-    return spread_join(has, f, ["_i", "_t"]), own.where(F.col("text").isNull())
+    return spread_join(has, f, ["_i", "_t"], large=True), own.where(F.col("text").isNull())
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -154,7 +154,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
         plan = written(plan.where("_p.base > 0 OR _p.extra > 0"), "mix-plan", keep=True)
     own = packed(docs, *needed).select("*", *_key("doc_id"), *_key("source"), word_count(F.col("text")).alias("_size"))
     keys = ["_doc_id", "_doc_id_none", "_source", "_source_none", "_size"]
-    both = spread_join(own, plan, keys)
+    both = spread_join(own, plan, keys, large=True)
     p = F.col("_p")
     even = (p["m"] == 1) | (p["extra"] == 0) | (p["extra"] == p["m"])
     alike = both.where(even).withColumn("_copies", p["base"] + (p["extra"] > 0).cast("long"))

@@ -89,7 +89,7 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_S
     with scratch(docs.sparkSession):
         base, gone = _judged(docs, min_docs, max_share)
         gone = written(gone, "rules-gone", keep=True)
-    df = spread_join(base, gone, KEYS, how="left")
+    df = spread_join(base, gone, KEYS, how="left", large=True)
     df = df.withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)).cast("long")).withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < min_left) | (left < min_left_share * F.col("n_words")))
@@ -118,7 +118,7 @@ def apply_rules(docs: DataFrame, **limits) -> DataFrame:
         v = written(v.withColumn("_removed", F.coalesce("_removed", F.array().cast("array<bigint>"))), "rules-kept", keep=True)
     own = packed(docs, "doc_id", "source", "text")
     keep = F.filter(F.split(F.col("text"), "\n", -1), lambda s: ~F.array_contains(F.col("_removed"), F.xxhash64(normalised(s))))
-    both = spread_join(own.select("*", *_keys(own)), v, KEYS)
+    both = spread_join(own.select("*", *_keys(own)), v, KEYS, large=True)
     return unpacked(both.withColumn("text", F.array_join(keep, "\n")), docs.columns, ("doc_id", "source", "text"))
 
 
