@@ -12,7 +12,7 @@ shifted by a digest of the other half), so that different entities have differen
 Names are drawn from syllables by a keyed hash; two names may then meet. `surrogates` holds every distinct entity of the corpus
 with its surrogate and checks all of them: within a kind no two share a surrogate and none is another's original; whoever
 clashes is drawn anew. The few drawn anew reach the texts by a join of documents with such an entity; all others are made in
-place, by one pass over the text, without a shuffle. Only SQL expressions are used.
+place, from what one pass of the patterns over the texts has found and written. Only SQL expressions are used.
 """
 
 from __future__ import annotations
@@ -301,24 +301,25 @@ def _parts(found: Column) -> Column:
     return F.transform(some, lambda p: F.struct(p["kind"].alias("kind"), _canonical(p).alias("value")))
 
 
-def parts_table(docs: DataFrame) -> DataFrame:
-    """(kind, value, n): every distinct part of the corpus and how often it stands there."""
-    each = entities(docs.select("text")).select(F.explode(_parts(F.col("_found"))).alias("p")).select("p.kind", "p.value")
+def parts_table(found: DataFrame) -> DataFrame:
+    """(kind, value, n): every distinct part of the corpus and how often it stands there, from what entities() has found."""
+    each = found.select(F.explode(_parts(F.col("_found"))).alias("p")).select("p.kind", "p.value")
     return each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: str = KEY, found: DataFrame | None = None) -> DataFrame:
     """(kind, value, n, draw, surrogate) of every part, checked: no two parts of a kind share a surrogate, none is a part's original.
 
     Clashing parts but the least of each surrogate are drawn anew. Bijective kinds cannot clash with each other; where a
-    surrogate is another's original, the value is drawn again too: the bijection under another key, checked again.
+    surrogate is another's original, the value is drawn again too: the bijection under another key, checked again. found: what
+    entities() has made of docs, if that is there already.
     """
     with scratch(docs.sparkSession):
-        return written(_unclashing(docs, key), "pii-known", keep=True)
+        return written(_unclashing(entities(docs.select("text")) if found is None else found, key), "pii-known", keep=True)
 
 
-def _unclashing(docs: DataFrame, key: str) -> DataFrame:
-    now = written(parts_table(docs).withColumn("draw", F.lit(0)), "pii-parts")
+def _unclashing(found: DataFrame, key: str) -> DataFrame:
+    now = written(parts_table(found).withColumn("draw", F.lit(0)), "pii-parts")
     for _ in range(MOST_DRAWS):
         now = written(now.select("kind", "value", "n", "draw", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key).alias("surrogate")), "pii-surrogates")
         group = F.when(F.col("kind").isin(*NAMES), F.lit("name")).otherwise(F.col("kind"))
@@ -341,9 +342,12 @@ def replaced(docs: DataFrame, key: str = KEY, known: DataFrame | None = None) ->
     Null text stays null and has no entities; rows that repeat get equal texts; an empty table gives an empty result. Other
     columns come back as they are; one named as a column of the result with `_in` behind its name.
     """
-    known = surrogates(docs, key) if known is None else known
-    again = written(known.where("draw > 0").select("kind", "value", "surrogate", F.col("n").alias("_n")), "pii-again")
     df = entities(packed(docs, "text"))
+    if known is None:
+        # the patterns are the cost, so what they find is written once, for the table of surrogates and for the texts
+        df = written(df, "pii-entities")
+        known = surrogates(docs, key, df)
+    again = written(known.where("draw > 0").select("kind", "value", "surrogate", F.col("n").alias("_n")), "pii-again")
     if again.isEmpty():
         df = df.withColumn("_again", F.lit(None).cast("map<string,string>"))
     else:
