@@ -129,6 +129,10 @@ def moments(family: str, *p: Column | float) -> dict[str, Column]:
         return {"mean": a[0] * a[1], "mode": F.greatest(F.lit(0.0), (a[0] - 1) * a[1]), "variance": a[0] * a[1] * a[1]}
     if family == "bernoulli":
         return {"mean": a[0], "mode": (a[0] > 0.5).cast("double"), "variance": a[0] * (1 - a[0])}
+    if family == "categorical":  # of the code, from 0
+        mean = sum((F.lit(float(k)) * q for k, q in enumerate(a)), F.lit(0.0))
+        square = sum((F.lit(float(k * k)) * q for k, q in enumerate(a)), F.lit(0.0))
+        return {"mean": mean, "mode": (F.array_position(F.array(*a), F.array_max(F.array(*a))) - 1).cast("double"), "variance": square - mean * mean}
     raise ValueError(f"no family {family}")
 
 

@@ -127,6 +127,13 @@ def standardized(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return both.withColumn("centered", F.col(column) - F.col("_m")).withColumn("standardized", F.col("centered") / F.col("_s")).drop("_m", "_s", *[f"_{b}" for b in by])
 
 
+def factor_codes(df: DataFrame, column: str, order: str, limit: int | None = None) -> DataFrame:
+    """(level, code): distinct values by first appearance, from 0; with a limit the later levels have no code and go."""
+    levels = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.min(order).alias("_first"))
+    out = numbered(levels, ["_first"], "code").select("level", "code")
+    return out if limit is None else out.where(F.col("code") < limit)
+
+
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson and Spearman (mean ranks of ties)."""
     rx, ry = mean_ranks(df, x, "_rx"), mean_ranks(df, y, "_ry")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.functions import densities as L
+from statloom.operators import sampling as R
 
 FAMILIES = ("normal", "bernoulli", "poisson", "gamma", "beta", "binomial", "exponential", "categorical", "constant")
 
@@ -93,22 +94,37 @@ class Graph:
             return L.binomial(x, p["n"], p["theta"])
         if kind == "exponential":
             return L.exponential(x, p["rate"])
-        return F.lit(0.0)
+        if kind == "categorical":
+            return L.categorical(x, p["probs"])
+        if kind == "constant":
+            return F.when(x == p["value"], 0.0).otherwise(-math.inf)
+        raise ValueError(f"{kind} has no log-probability")
 
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-        """n rows, each node drawn after its parents (normal, bernoulli, poisson by a bounded sum, exponential)."""
+        """n rows, each node drawn after its parents. Numbers are hashes of the seed, the row and the node, so a lost task draws the same again."""
         df = spark.range(n).withColumnRenamed("id", "sample")
         for k, node in enumerate(self.order()):
             kind, p = self.nodes[node]
             eta = self.predictor(node)
-            u = F.rand(seed * 1000 + k)
+            key = (F.lit(seed), F.lit(k), F.col("sample"))
+            u = R.uniform(*key)
             if kind == "normal":
                 loc = F.lit(p.get("loc", 0.0)) if eta is None else eta + p.get("loc", 0.0)
-                df = df.withColumn(node, loc + F.randn(seed * 1000 + k) * math.sqrt(p.get("scale", 1.0)))
+                df = df.withColumn(node, loc + R.normal(*key) * math.sqrt(p.get("scale", 1.0)))
             elif kind == "bernoulli":
                 df = df.withColumn(node, (u < (F.lit(p["theta"]) if eta is None else 1 / (1 + F.exp(-eta)))).cast("int"))
             elif kind == "exponential":
                 df = df.withColumn(node, -F.ln(1 - u) / p["rate"])
+            elif kind == "poisson":
+                df = df.withColumn(node, R.poisson(p["rate"] if eta is None else F.exp(eta), *key))
+            elif kind == "gamma":
+                df = df.withColumn(node, R.gamma(p["shape"], p["scale"], *key))
+            elif kind == "beta":
+                df = df.withColumn(node, R.beta(p["a"], p["b"], *key))
+            elif kind == "binomial":
+                df = df.withColumn(node, R.binomial(p["n"], p["theta"], *key))
+            elif kind == "categorical":
+                df = df.withColumn(node, R.categorical(p["probs"], *key))
             elif kind == "constant":
                 df = df.withColumn(node, F.lit(p["value"]))
             else:
@@ -117,7 +133,8 @@ class Graph:
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
         """(nodes(id, kind, params), edges(parent, child, weight))."""
-        nodes = [(k, f, {a: float(b) for a, b in p.items()}) for k, (f, p) in self.nodes.items()]
+        flat = lambda p: {f"{a}_{i}" if isinstance(b, list) else a: float(x) for a, b in p.items() for i, x in enumerate(b if isinstance(b, list) else [b])}
+        nodes = [(k, f, flat(p)) for k, (f, p) in self.nodes.items()]
         return spark.createDataFrame(nodes, "id string, kind string, params map<string,double>"), spark.createDataFrame(self.edges, "parent string, child string, weight double")
 
     def to_json(self) -> str:

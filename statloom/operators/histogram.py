@@ -99,6 +99,11 @@ def joint_histogram(df: DataFrame, x: str, y: str, bins_x: int, bins_y: int) ->
     return out.select("bx", "by", "count", (F.col("count") / F.col("_n")).alias("joint"), (F.col("_nx") / F.col("_n")).alias("marginal_x"), (F.col("_ny") / F.col("_n")).alias("marginal_y"), (F.col("count") / F.col("_nx")).alias("y_given_x"))
 
 
+def marginal_histograms(df: DataFrame, x: str, y: str, bins: int | str | float = 16) -> tuple[DataFrame, DataFrame]:
+    """The histograms of two columns, each over its own limits."""
+    return histogram(df, x, bins), histogram(df, y, bins)
+
+
 def joint_cumulative(cells: DataFrame, bins_x: int, bins_y: int) -> DataFrame:
     """(bx, by, cum): counts of all cells at or below in both directions, over the dense grid of bins_x * bins_y cells."""
     spark = cells.sparkSession

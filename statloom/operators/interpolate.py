@@ -64,6 +64,26 @@ class PolySpline:
         return _rbf(np.abs(x[:, None] - self.x), self.k) @ self.w[:-2] + self.w[-2] + self.w[-1] * x
 
 
+class PolySurface:
+    """A polyharmonic surface of order k through (x, y, z) with Euclidean distances, solved by the pseudo-inverse; s is added to the diagonal."""
+
+    def __init__(self, k: int, x, y, z, s: float = 0.0):
+        self.k, self.p = k, np.stack((np.asarray(x, float), np.asarray(y, float)), 1)
+        n = len(self.p)
+        if n > MOST_NODES:
+            raise ValueError(f"{n} nodes; at most {MOST_NODES}")
+        one = np.concatenate((np.ones((n, 1)), self.p), 1)
+        a = np.block([[_rbf(self._far(self.p), k) + s * np.eye(n), one], [one.T, np.zeros((3, 3))]])
+        self.w = np.linalg.pinv(a) @ np.concatenate((np.asarray(z, float), np.zeros(3)))
+
+    def _far(self, q: np.ndarray) -> np.ndarray:
+        return np.sqrt(((q[:, None] - self.p[None]) ** 2).sum(-1))
+
+    def __call__(self, x, y) -> np.ndarray:
+        q = np.stack((np.atleast_1d(np.asarray(x, float)), np.atleast_1d(np.asarray(y, float))), 1)
+        return _rbf(self._far(q), self.k) @ self.w[:-3] + self.w[-3] + q @ self.w[-2:]
+
+
 def bilinear(x: Column, y: Column, xs: list[float], ys: list[float], z: list[list[float]]) -> Column:
     """Between the four nodes around (x, y) of a grid z[i][j] at (xs[i], ys[j]); null outside."""
     gx, gy = F.array(*[F.lit(float(v)) for v in xs]), F.array(*[F.lit(float(v)) for v in ys])

@@ -201,7 +201,7 @@ def closest_median_mode(p: np.ndarray, modes: tuple[int, int], ranges: tuple[int
 def density_intervals(p: np.ndarray, step: int, min_width: int, n: int) -> list[Part]:
     """The n densest disjoint intervals of min_width bins or more, by mass over width; widths grow by step."""
     sums = np.concatenate(([0.0], np.cumsum(p)))
-    options = sorted(((-(sums[b] - sums[a]) / (b - a), a, b) for a in range(0, len(p), step) for b in range(a + min_width, len(p) + 1, step)))
+    options = sorted(((round(-(sums[b] - sums[a]) / (b - a), 12), a, b) for a in range(0, len(p), step) for b in range(a + min_width, len(p) + 1, step)))
     out: list[Part] = []
     for _, a, b in options:
         if len(out) == n:

@@ -60,6 +60,17 @@ def absolute_deviation(spark, sf):
     return rounded(D.absolute_deviation(table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"]), "abs_dev")
 
 
+@query("SELECT c_mktsegment, round(mad(c_acctbal), 6) AS median_abs_dev FROM customer GROUP BY ALL")
+def median_absolute_deviation(spark, sf):
+    return rounded(D.median_absolute_deviation(table(spark, sf, "customer"), "c_acctbal", ["c_mktsegment"]), "median_abs_dev")
+
+
+@query("""
+SELECT event_id, (SELECT count(*) FROM events f WHERE f.user_id = e.user_id AND f.event_id < e.event_id AND f.value <= e.value)::INT AS insert_rank FROM events e""")
+def rank_among_all_before(spark, sf):
+    return P.rank_on_insert(table(spark, sf, "events"), ["event_id"], "value", ["user_id"]).select("event_id", "insert_rank")
+
+
 @query("""
 WITH s AS (SELECT l_returnflag, sum(l_quantity) AS w, sum(l_quantity * l_discount) AS wv, sum(l_quantity * l_discount * l_discount) AS wvv FROM lineitem GROUP BY ALL)
 SELECT l_returnflag, round(wv / w, 6) AS mean, round(wvv / w - (wv / w) * (wv / w), 6) AS var, round(sqrt(wvv / w - (wv / w) * (wv / w)), 6) AS sd FROM s""")
@@ -186,8 +197,7 @@ def top_n(spark, sf):
 @query("SELECT p_type AS level, (row_number() OVER (ORDER BY min(p_partkey)) - 1)::BIGINT AS code FROM part GROUP BY p_type")
 def factor_codes(spark, sf):
     """Category codes in order of first appearance."""
-    levels = table(spark, sf, "part").groupBy(F.col("p_type").alias("level")).agg(F.min("p_partkey").alias("first"))
-    return P.numbered(levels, ["first"], "code").select("level", "code")
+    return D.factor_codes(table(spark, sf, "part"), "p_type", "p_partkey")
 
 
 @query("SELECT n_regionkey, to_json(list({'key': n_nationkey, 'name': n_name} ORDER BY n_nationkey))::VARCHAR AS rows FROM nation GROUP BY ALL")

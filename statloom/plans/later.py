@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from statloom.functions import sql
 from statloom.operators import graph as G
 from statloom.operators import histogram as H
 from statloom.operators import interpolate as I
+from statloom.operators import interval as V
+from statloom.operators import model as M
 from statloom.operators import partition as P
 from statloom.plans.define import query
 from statloom.plans.descriptive import rounded
@@ -33,7 +36,20 @@ def median_mode_partition(spark, sf):
     return rounded(P.partitions(_hist(spark, sf), lambda p: P.closest_median_mode(p, (1, 4), (4, 16), 12, 0.05), ["event_type"]), "mass")
 
 
-@query()
+_DENSE = """
+WITH s AS (SELECT event_type, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events GROUP BY ALL), h AS (SELECT *, (hi - lo) / 32 AS w FROM s),
+c AS (SELECT event_type, least(floor((value - lo) / w), 31)::INT AS bin, count(*) AS c FROM events JOIN h USING (event_type) GROUP BY ALL),
+p AS (SELECT h.event_type, b.bin, coalesce(c.c, 0) / h.n AS p FROM h CROSS JOIN (SELECT unnest(range(32))::INT AS bin) b LEFT JOIN c ON c.event_type = h.event_type AND c.bin = b.bin),
+o AS (SELECT x.event_type, x.bin AS a, y.bin + 1 AS b, sum(z.p) AS mass FROM p x JOIN p y ON y.event_type = x.event_type AND y.bin >= x.bin + 2 JOIN p z ON z.event_type = x.event_type AND z.bin BETWEEN x.bin AND y.bin GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(-mass / (b - a), 12), a, b) AS k FROM o),
+k1 AS (SELECT * FROM k WHERE k = 1),
+k2 AS (SELECT k.* FROM k JOIN k1 ON k1.event_type = k.event_type AND (k.b <= k1.a OR k.a >= k1.b) QUALIFY row_number() OVER (PARTITION BY k.event_type ORDER BY k.k) = 1),
+k3 AS (SELECT k.* FROM k JOIN k1 ON k1.event_type = k.event_type AND (k.b <= k1.a OR k.a >= k1.b) JOIN k2 ON k2.event_type = k.event_type AND (k.b <= k2.a OR k.a >= k2.b) QUALIFY row_number() OVER (PARTITION BY k.event_type ORDER BY k.k) = 1),
+f AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)
+SELECT f.event_type, (row_number() OVER (PARTITION BY f.event_type ORDER BY a) - 1)::INT AS part, a AS first, (SELECT arg_max(bin, round(p.p, 12) * 1000 + bin * 1e-9) FROM p WHERE p.event_type = f.event_type AND p.bin >= a AND p.bin < b) AS mode, b - 1 AS last, round(mass, 6) AS mass FROM f"""
+
+
+@query(_DENSE)
 def density_intervals(spark, sf):
     return rounded(P.partitions(_hist(spark, sf), lambda p: P.density_intervals(p, 1, 3, 3), ["event_type"]), "mass")
 
@@ -78,6 +94,60 @@ def bilinear(spark, sf):
     return rounded(c.select("c_custkey", z.alias("z")), "z", digits=8)
 
 
+@query("SELECT event_id, (event_id >= 200)::INT + (event_id >= 900)::INT AS slice FROM events WHERE NOT (event_id >= 100 AND event_id < 200) AND NOT (event_id >= 500 AND event_id < 900)")
+def outside_ranges(spark, sf):
+    return V.outside(table(spark, sf, "events"), F.col("event_id"), [(100, 200), (500, 900)]).select("event_id", "slice")
+
+
+@query("""
+WITH c AS (SELECT l_quantity AS threshold, count(*) FILTER (l_returnflag = 'R') AS one, count(*) FILTER (l_returnflag <> 'R') AS zero FROM lineitem GROUP BY ALL)
+SELECT threshold, round(sum(one) OVER (ORDER BY threshold DESC) / (SELECT sum(one) FROM c), 9) AS tpr, round(sum(zero) OVER (ORDER BY threshold DESC) / (SELECT sum(zero) FROM c), 9) AS fpr FROM c""")
+def roc_curve(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return rounded(M.roc(d, "l_quantity", "y"), "tpr", "fpr", digits=9)
+
+
+_SORTED = "WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events GROUP BY ALL) "
+
+
+@query(_SORTED + "SELECT event_type, v[least(floor(n * 0.05), n - 1)::INT + 1] AS low, v[least(floor(n * 0.95), n - 1)::INT + 1] AS high FROM s")
+def percentile_interval(spark, sf):
+    return V.percentile_interval(table(spark, sf, "events"), "value", 0.05, 0.95, ["event_type"])
+
+
+@query(_SORTED + "SELECT event_type, part, v[least(floor(n * part / 4), n - 1)::INT + 1] AS low, v[least(floor(n * (part + 1) / 4), n - 1)::INT + 1] AS high FROM s, (SELECT unnest([0, 1, 2, 3])::INT AS part)")
+def quartile_intervals(spark, sf):
+    return V.quantile_intervals(table(spark, sf, "events"), "value", 0.25, ["event_type"])
+
+
+@query("SELECT event_type, round(avg(value) - 1.96 * stddev_pop(value), 6) AS low, round(avg(value) + 1.96 * stddev_pop(value), 6) AS high FROM events GROUP BY ALL")
+def z_interval(spark, sf):
+    return rounded(V.z_interval(table(spark, sf, "events"), "value", 1.96, ["event_type"]), "low", "high")
+
+
+@query("SELECT event_type, round(median(value) - 2 * mad(value), 6) AS low, round(median(value) + 2 * mad(value), 6) AS high FROM events GROUP BY ALL")
+def median_interval(spark, sf):
+    return rounded(V.median_interval(table(spark, sf, "events"), "value", 2.0, ["event_type"]), "low", "high")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS loc, round(var_samp(value), 6) AS scale, len(list(value)) AS size FROM events GROUP BY ALL")
+def sql_distribution(spark, sf):
+    """The SQL function of a sample's distribution, with its data."""
+    sql.register(spark)
+    d = table(spark, sf, "events").groupBy("event_type").agg(F.expr("norm_of(collect_list(struct(value)).value)").alias("d"))
+    return d.select("event_type", "d.n", F.round("d.loc", 6).alias("loc"), F.round("d.scale", 6).alias("scale"), F.size("d.data").cast("long").alias("size"))
+
+
+@query("""
+SELECT l_linestatus, round(sum(-0.5 * (ln(2 * pi() * 200) + (l_quantity - 25) * (l_quantity - 25) / 200) + CASE l_returnflag WHEN 'A' THEN ln(0.25) WHEN 'N' THEN ln(0.5) ELSE ln(0.25) END), 3) AS log_prob FROM lineitem GROUP BY ALL""")
+def graph_log_probability(spark, sf):
+    """A normal and a categorical node over every row."""
+    g = G.Graph().add("q", "normal", loc=25.0, scale=200.0).add("flag", "categorical", probs=[0.25, 0.5, 0.25])
+    code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    d = table(spark, sf, "lineitem").select("l_linestatus", F.col("l_quantity").alias("q"), code.alias("flag"))
+    return d.groupBy("l_linestatus").agg(F.round(F.sum(g.log_probability()), 3).alias("log_prob"))
+
+
 @query("SELECT user_id, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY ALL")
 def running_summary(spark, sf):
     """The batch twin of the streaming summary; tests run it as a stream."""
