@@ -154,12 +154,13 @@ def mix(docs: DataFrame, **how) -> DataFrame:
         plan = written(plan.where("_p.base > 0 OR _p.extra > 0"), "mix-plan", keep=True)
     own = packed(docs, *needed).select("*", *_key("doc_id"), *_key("source"), word_count(F.col("text")).alias("_size"))
     keys = ["_doc_id", "_doc_id_none", "_source", "_source_none", "_size"]
-    both = spread_join(own, plan, keys, large=True)
     p = F.col("_p")
     even = (p["m"] == 1) | (p["extra"] == 0) | (p["extra"] == p["m"])
-    alike = both.where(even).withColumn("_copies", p["base"] + (p["extra"] > 0).cast("long"))
-    some = numbered(both.where(~even), keys, "_number").withColumn("_copies", p["base"] + (F.col("_number") <= p["extra"]).cast("long"))
-    every = alike.unionByName(some.drop("_number")).where("_copies > 0")
+    uneven = written(plan.where(~even), "mix-uneven")
+    every = spread_join(own, plan.where(even), keys, large=True).withColumn("_copies", p["base"] + (p["extra"] > 0).cast("long"))
+    if not uneven.isEmpty():  # only then do the texts pass a second time
+        some = numbered(spread_join(own, uneven, keys), keys, "_number").withColumn("_copies", p["base"] + (F.col("_number") <= p["extra"]).cast("long"))
+        every = every.unionByName(some.drop("_number")).where("_copies > 0")
     return unpacked(every, docs.columns, needed, copies=F.col("_copies"))
 
 
