@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,3 +81,46 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFra
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+class RankSet:
+    """Distinct values in order, at most `size` of them: a value that comes into a full set takes the place of its nearer neighbour in rank."""
+
+    def __init__(self, size: int):
+        if size < 2:
+            raise ValueError("a set of ranks holds two values at least")
+        self.size, self.values = size, []
+
+    def add(self, value: float) -> None:
+        k = bisect_left(self.values, value)
+        if k < len(self.values) and self.values[k] == value:
+            return
+        if len(self.values) < self.size:
+            self.values.insert(k, value)
+        elif k in (0, len(self.values)):
+            self.values[min(k, self.size - 1)] = value
+        else:
+            self.values[k if self.values[k] - value <= value - self.values[k - 1] else k - 1] = value
+
+    def quantile(self, q: float) -> float | None:
+        k = int(len(self.values) * q)
+        return self.values[k] if k < len(self.values) else None
+
+
+def rank_sets(df: DataFrame, by: str, order: str, value: str, size: int) -> DataFrame:
+    """(by, values): each key's bounded set after all its rows in order. Rows are sorted by Spark and stream through; a task holds one set."""
+    placed = df.where(F.col(value).isNotNull()).select(by, order, value).repartition(by).sortWithinPartitions(by, order)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, found = None, None
+        for pdf in batches:
+            for k, v in zip(pdf[by], pdf[value], strict=True):
+                if found is None or not (k == key or pd.isna(k) and pd.isna(key)):
+                    if found is not None:
+                        yield pd.DataFrame({by: [key], "values": [found.values]})
+                    key, found = k, RankSet(size)
+                found.add(float(v))
+        if found is not None:
+            yield pd.DataFrame({by: [key], "values": [found.values]})
+
+    return placed.mapInPandas(fold, f"`{by}` {df.schema[by].dataType.simpleString()}, `values` array<double>")
