@@ -23,6 +23,8 @@ from statloom.llm.common import packed, scratch, spread_join, table, unpacked, w
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 _BLOOM = 22
+#: Bytes of documents looked up at once; a longer text is one block.
+_TEXT = 1 << 19
 
 
 def _words(text: str) -> list[bytes]:
@@ -87,7 +89,7 @@ class Windows:
         """For each text: number of words, spans of hit words (flat: start, end, start, end ...; merged) and the items that occur."""
         n_words, spans, items = [], [], []
         data, at = T.buffers(texts)
-        for lo, hi in T.groups(at):
+        for lo, hi in T.groups(at, _TEXT):
             part, cut = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
             h, bounds = T.scan(part, cut, T.ALNUM, T.LOWER)
             n_words += np.diff(bounds).tolist()
@@ -206,7 +208,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5,
 
     The columns are those of docs, of any name. See find_hits for nulls, empty tables and repeated rows.
     """
-    hits = _found(packed(docs, "doc_id", "text"), benchmark, window, block_bytes)
+    own, parts = packed(docs, "doc_id", "text"), blocks(benchmark, block_bytes)
+    if len(parts) <= 1:
+        return unpacked(_cleaned(own, Windows([tuple(r) for r in parts[0].collect()] if parts else [], window), max_share), docs.columns, ("doc_id", "text"))
+    hits = _found(own, benchmark, window, block_bytes)
     hit = F.aggregate("_spans", F.lit(0), lambda a, x: x - a)  # ends minus starts: x - a alternates the sign
     kept = hits.withColumn("_hit", hit).where((F.col("_hit") == 0) | (F.col("_hit") <= max_share * F.col("_n_words"))).drop("_items", "_n_words", "_hit")
     names = kept.columns
@@ -223,6 +228,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5,
     return unpacked(kept.mapInArrow(cut, kept.schema), docs.columns, ("doc_id", "text"))
 
 
+def _cleaned(docs: DataFrame, windows: Windows, max_share: float) -> DataFrame:
+    """Both steps of decontaminate in one pass, for one block of windows."""
+    sent = docs.sparkSession.sparkContext.broadcast(windows)
+    names = docs.columns
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = names.index("text")
+            n_words, spans, _ = sent.value.find(batch.column(k))
+            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            columns = list(batch.columns)
+            if any(hit):
+                texts = columns[k].to_pylist()
+                columns[k] = pa.array([without(t, s) if s else t for t, s in zip(texts, spans, strict=True)], columns[k].type)
+            keep = pa.array([h == 0 or h <= max_share * n for h, n in zip(hit, n_words, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=names)
+
+    return docs.mapInArrow(step, docs.schema)
+
+
 def without(text: str, spans: list[int]) -> str:
     """text without the words of the spans (flat bounds by word number)."""
     raw = text.encode()

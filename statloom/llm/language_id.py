@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Unigrams | None) -> DataFrame:
         for batch in batches:
             pred, sure = [], []
             data, at = T.buffers(batch.column(0))
-            for lo, hi in T.groups(at, 1 << 22) if m else [(0, batch.num_rows)]:
+            for lo, hi in T.groups(at, 1 << 20) if m else [(0, batch.num_rows)]:
                 total = np.zeros((hi - lo, len(m.langs) if m else 1))
                 if m:
                     part, cut = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]

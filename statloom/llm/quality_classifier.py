@@ -25,6 +25,8 @@ CHAIN = 64  # lines of a training chain; longer documents are several chains
 STEPS = 200
 THRESHOLD = 0.3
 WINDOW = 5
+#: Bytes of text whose line features are held at once; a longer text is one block.
+BLOCK = 1 << 19
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#$%&*<>{}[]\\^~=+_@", "bar": b"|", "bang": b"!?", "stop": b".,;:", "wide": range(192, 256)}
 _MASKS = {k: np.isin(np.arange(256), list(v)) for k, v in _KINDS.items()}
@@ -35,7 +37,7 @@ N_LINE = 6 + sum(1 + len(c) for c in _CUTS.values())
 def line_features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For ranges of rows: (first row, last row + 1, features [lines, N_LINE], lengths of lines, bounds of the rows' lines)."""
     data, at = T.buffers(texts)
-    for lo, hi in T.groups(at):
+    for lo, hi in T.groups(at, BLOCK):
         part, cut = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         breaks = np.flatnonzero(part == 10) + 1
         starts = np.sort(np.concatenate((cut[:-1], breaks)), kind="stable")

@@ -196,6 +196,7 @@ def test_decontamination_blocks(spark, tmp_path):
             hit, ids = brute.hits(r.text, items)
             spans = [x for a, b in zip(r.spans[::2], r.spans[1::2], strict=True) for x in range(a, b)]
             assert sorted(hit) == spans and sorted(set(ids)) == r.items and r.n_words == len(brute.WORD.findall(brute.lowered(r.text)))
+    assert sorted(map(str, D.decontaminate(docs, bench).collect())) == sorted(map(str, D.decontaminate(docs, bench, block_bytes=200).collect()))
     assert len(D.blocks(bench, 200)) > 5 and all(b.agg(F.sum(F.length("text"))).head()[0] <= 200 or b.count() == 1 for b in D.blocks(bench, 200))
 
 
