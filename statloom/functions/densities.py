@@ -45,8 +45,10 @@ def log_binomial_coefficient(n: Column | float, k: Column) -> Column:
 
 
 def binomial(x: Column, n: Column | float, theta: Column | float) -> Column:
+    # the coefficient stands outside the branches, where generated code computes what it repeats once
     n, t = col(n), col(theta)
-    return F.when(x == 0, n * F.ln(1 - t)).when(x == n, n * F.ln(t)).otherwise(log_binomial_coefficient(n, x) + x * F.ln(t) + (n - x) * F.ln(1 - t))
+    some, others = F.when(x == 0, 0.0).otherwise(x * F.ln(t)), F.when(x == n, 0.0).otherwise((n - x) * F.ln(1 - t))
+    return log_binomial_coefficient(n, x) + some + others
 
 
 def poisson(x: Column, rate: Column | float) -> Column:

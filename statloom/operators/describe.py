@@ -64,11 +64,7 @@ def ranked_values(df: DataFrame, column: str, quantiles: list[float], by: list[s
     prefix sums over the distinct values find the positions; no group is gathered in one task."""
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = prefix(counts, [column], {"_upto": F.col("_n")}, by)
-    totals = counts.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.sum("_n").alias("_total"))
-    on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
-    both = upto.join(totals, on) if by else upto.crossJoin(F.broadcast(totals))  # one row
-    each = both.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+    each = prefix(counts, [column], {"_upto": F.col("_n")}, by, {"_total": "_upto"}).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     pos = F.least(F.floor(F.col("_total") * F.col("q")), F.col("_total") - 1)
     return each.withColumn("pos", pos).where((F.col("pos") < F.col("_upto")) & (F.col("pos") >= F.col("_upto") - F.col("_n"))).select(*by, "q", "pos", F.col(column).alias("value"))
 
@@ -84,9 +80,7 @@ def rank_summary(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 def true_median(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """The middle value, or the mean of the two middle values."""
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    upto = prefix(counts, [column], {"_upto": F.col("_n")}, by)
-    totals = counts.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.sum("_n").alias("_total"))
-    both = upto.join(totals, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    both = prefix(counts, [column], {"_upto": F.col("_n")}, by, {"_total": "_upto"})
     holds = lambda p: (p < F.col("_upto")) & (p >= F.col("_upto") - F.col("_n"))
     low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     return both.groupBy(*by).agg(((F.max(F.when(holds(low), F.col(column))) + F.max(F.when(holds(high), F.col(column)))) / 2).alias("median"))
@@ -113,9 +107,7 @@ def entropy(df: DataFrame, prob: str, by: list[str] | None = None) -> DataFrame:
 
 def quantiles_of_counts(df: DataFrame, bin_: str, count: str, quantiles: list[float]) -> DataFrame:
     """(q, bin, cumulative): for each q the first bin whose cumulative share reaches it."""
-    upto = prefix(df, [bin_], {"cumulative": F.col(count)})
-    total = df.agg(F.sum(count).alias("_total"))
-    each = upto.crossJoin(F.broadcast(total)).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))  # one row
+    each = prefix(df, [bin_], {"cumulative": F.col(count)}, whole={"_total": "cumulative"}).withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     hit = each.where(F.col("cumulative") >= F.col("q") * F.col("_total"))
     return hit.groupBy("q").agg(F.min(F.struct(F.col(bin_).alias("b"), "cumulative")).alias("m")).select("q", F.col("m.b").alias("bin"), F.col("m.cumulative").alias("cumulative"))
 

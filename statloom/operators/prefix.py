@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from statloom.shared import written
 
 
-def prefix(df: DataFrame, order: list[str | Column], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """df with the inclusive running sums; order must tell rows of a group apart, else ties fall in any order."""
-    by = by or []
+def prefix(df: DataFrame, order: list[str | Column], sums: dict[str, Column], by: list[str] | None = None, whole: dict[str, str] | None = None) -> DataFrame:
+    """df with the inclusive running sums; order must tell rows of a group apart, else ties fall in any order.
+
+    whole: name -> running sum; a column of that name has the sum of the whole group, from the same few rows as the offsets.
+    """
+    by, whole = by or [], whole or {}
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = df.withColumns({f"_s_{k}": v for k, v in sums.items()}).repartitionByRange(*[F.col(b) for b in by], *keys)
     placed = written(placed.withColumn("_pid", F.spark_partition_id()))
     own = Window.partitionBy("_pid", *by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("_pid", *by).agg(*[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_pid").alias("_p"), *[F.col(b).alias(f"_b_{b}") for b in by], *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    offsets = totals.select(
+        F.col("_pid").alias("_p"), *[F.col(b).alias(f"_b_{b}") for b in by], *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
+        *[F.sum(f"_t_{k}").over(Window.partitionBy(*by)).alias(name) for name, k in whole.items()],
+    )
     on = F.col("_pid") == F.col("_p")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
