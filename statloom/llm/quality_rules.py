@@ -1,8 +1,9 @@
 """Quality rules: lines that too many documents of a host share go, and documents that they deplete are rejected.
 
 Lines are normalised (lower case, white space runs to one space, trimmed) and hashed; for each host (`source`) the distinct
-documents of each hash are counted. A line of more than max(min_docs, max_share * documents of the host) documents goes
-from all of them. A document is depleted if fewer than min_left words or less than min_left_share of its words stay.
+documents of each hash are counted. A line of more than max(min_docs, sqrt(growth * documents of the host)) documents goes
+from all of them: the limit is 14 of 200, 316 of 100,000, 3,162 of ten million. A document is depleted if fewer than min_left
+words or less than min_left_share of its words stay.
 
 Rows that repeat (doc_id, source, text) are one document when lines are counted, and all get its verdict. Null text has no
 words, so it fails the base rules; a null source is a host of its own. Rows without a doc_id are told apart by their text.
@@ -19,7 +20,8 @@ MIN_WORDS = 10
 REPEATED_PERCENT = 20
 WINDOW = 5
 MIN_DOCS = 10
-MAX_SHARE = 0.05
+#: The limit grows as the root of a host's documents: a share of them would let through what thousands of a large host have in common.
+GROWTH = 1
 MIN_LEFT = 10
 MIN_LEFT_SHARE = 0.3
 SYMBOLS = "#*$%&|<>"
@@ -76,18 +78,18 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return each.distinct()
 
 
-def frequent_lines(lines: DataFrame, base: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(lines: DataFrame, base: DataFrame, min_docs: int = MIN_DOCS, growth: int = GROWTH) -> DataFrame:
     """(_host, h, n_docs) of the lines above their host's limit. base: one row (_id, _th, _host) for each document."""
     hosts = base.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("_host", "_of")
     counts = lines.select(*KEYS, "h").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
     few = counts.where(F.col("n_docs") > min_docs)
-    return few.join(hosts, F.col("_host") == F.col("_of")).where(F.col("n_docs") > max_share * F.col("host_docs")).select("_host", "h", "n_docs")
+    return few.join(hosts, F.col("_host") == F.col("_of")).where(F.col("n_docs") > growth * F.col("host_docs") / F.col("n_docs")).select("_host", "h", "n_docs")
 
 
-def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, growth: int = GROWTH, min_left: int = MIN_LEFT, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
     """One row for each row of docs: doc_id, the base metrics, n_removed_lines, n_removed_words, kept, and removed (hashes of the lines that go)."""
     with scratch(docs.sparkSession):
-        base, gone = _judged(docs, min_docs, max_share)
+        base, gone = _judged(docs, min_docs, growth)
         gone = written(gone, "rules-gone", keep=True)
     df = spread_join(base, gone, KEYS, how="left", large=True)
     df = df.withColumn("n_removed_lines", F.coalesce("n_removed_lines", F.lit(0)).cast("long")).withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
@@ -96,12 +98,12 @@ def verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_S
     return df.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def _judged(docs: DataFrame, min_docs: int, max_share: float) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, min_docs: int, growth: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their base metrics, and for each document that loses lines: which, and how many rows it has (_n)."""
     base = written(base_metrics(docs.select("doc_id", "source", "text")).select("doc_id", *_keys(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), "rules-base", keep=True)
     lines = written(host_lines(docs), "rules-lines")
     each = written(base.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")), "rules-documents")
-    over = written(frequent_lines(lines, each, min_docs, max_share).withColumnRenamed("n_docs", "_n"), "rules-over")
+    over = written(frequent_lines(lines, each, min_docs, growth).withColumnRenamed("n_docs", "_n"), "rules-over")
     gone = spread_join(lines, over, ["_host", "h"]).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_removed_lines"), F.sum("n").alias("n_removed_words"), F.collect_set("h").alias("removed"))
     rows = each.select(*[F.col(k).alias(f"_{k}") for k in KEYS], "_n")
     on = [F.col(k) == F.col(f"_{k}") for k in KEYS]
@@ -144,7 +146,7 @@ base AS (
 lines AS (SELECT doc_id, source, {_NORM.format("s")} AS s FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS s FROM d)),
 host AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 freq AS (SELECT source, s, count(DISTINCT doc_id) AS n FROM lines WHERE s <> '' GROUP BY source, s),
-over_ AS (SELECT f.source, f.s FROM freq f JOIN host h ON h.source = f.source WHERE f.n > {MIN_DOCS} AND f.n > {MAX_SHARE} * h.n),
+over_ AS (SELECT f.source, f.s FROM freq f JOIN host h ON h.source = f.source WHERE f.n > {MIN_DOCS} AND f.n > {GROWTH} * h.n / f.n),
 gone AS (SELECT l.doc_id, count(*) AS nl, sum(len(string_split(l.s, ' '))) AS nw FROM lines l JOIN over_ o ON o.source = l.source AND o.s = l.s GROUP BY l.doc_id),
 v AS (SELECT base.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, coalesce(nl, 0)::BIGINT AS n_removed_lines, coalesce(nw, 0)::BIGINT AS n_removed_words
   FROM base LEFT JOIN gone ON gone.doc_id = base.doc_id)

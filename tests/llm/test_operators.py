@@ -211,6 +211,17 @@ def test_rules_and_licenses_on_odd_rows(odd, none):
     assert licenses.scan(odd).where("size(licenses) > 0").count() == 0
 
 
+def test_common_line_of_a_large_host(spark):
+    """A notice in 2 % of a large host's documents goes; one in 20 of 1,000 (under the root), or in 9 of a small host, stays."""
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(15))
+    rows = [(k, own(k) + ("\nAll rights reserved by us" if k < 40 else "") + ("\nPage of the day" if 100 <= k < 120 else ""), "large") for k in range(1000)]
+    rows += [(1000 + k, own(k) + ("\nAll rights reserved by us" if k < 9 else ""), "small") for k in range(40)]
+    rows += [(2000, "Just this here\nAll rights reserved by us", "large")]
+    got = {r.doc_id: r for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {k for k, r in got.items() if r.n_removed_lines} == {*range(40), 2000}
+    assert all(got[k].kept for k in range(1000)) and not got[2000].kept
+
+
 def test_licenses_wrapped(spark):
     def wrapped(names, mark="", width=60):
         words = " ".join(licenses.SENTENCES[k][0] for k in names).split()
