@@ -25,6 +25,8 @@ BLOCK_BYTES = 4 << 20
 _BLOOM = 22
 #: Bytes of documents looked up at once; a longer text is one block.
 _TEXT = 1 << 19
+#: Rows whose texts a worker writes anew at once.
+ROWS = 500
 
 
 def _words(text: str) -> list[bytes]:
@@ -234,8 +236,8 @@ def _cleaned(docs: DataFrame, windows: Windows, max_share: float) -> DataFrame:
     names = docs.columns
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = names.index("text")
+        k = names.index("text")
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             n_words, spans, _ = sent.value.find(batch.column(k))
             hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
             columns = list(batch.columns)

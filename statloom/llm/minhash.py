@@ -18,6 +18,8 @@ joins its class. Buckets whose members are in one class are done. The others go
 the members of other classes until every hub has met every one: no candidate pair of different classes that the bounds allow
 stays unverified, and a group of copies costs about as many comparisons as it has members. Classes are connected components of
 the verified links. Members of large buckets and rows of large groups are spread over tasks.
+
+A text moves only if a sketch of bits says that it may have a partner: of all rows with text, those outside it stay where they are.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ MOST_HUBS = 1000
 #: Classes of shingles of the bound by classes.
 CLASSES = 128
 BLOCK = 1 << 18
+#: The most rows of a sketch of keys, 64 bits each; keys beyond 8 for each row only let more rows pass it.
+MOST_MASKS = 1 << 17
 #: Bits of a shingle's hash; the others hold the row, of which a block has at most BLOCK.
 _BITS = np.uint64(44)
 
@@ -281,6 +285,17 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         edges = written(small.where("a > b").distinct(), "near-edges")
 
 
+def _parted(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows that may have one of keys (a written table), and rows that have none. A sketch of bits tells them apart; no row moves."""
+    masks = min(MOST_MASKS, 1 << max(keys.count() // 8, 1).bit_length())
+    h = F.xxhash64(F.lit(13), *columns)
+    at, bit = F.pmod(F.shiftright(h, 6), F.lit(masks)), h.bitwiseAND(F.lit(63)).cast("int")
+    marks = keys.select(at.alias("_at"), bit.alias("_bit")).groupBy("_at").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+    marks = F.broadcast(written(marks, "near-marks"))  # MOST_MASKS rows at most
+    met = rows.join(marks, at == F.col("_at"), "left").withColumn("_in", F.coalesce(F.getbit("_mask", bit) == 1, F.lit(False)))
+    return met.where("_in").select(*rows.columns), met.where("NOT _in").select(*rows.columns)
+
+
 def _several(members: DataFrame) -> DataFrame:
     """The members of buckets with more than one."""
     shared = written(members.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "near-shared")
@@ -327,7 +342,8 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     members = written(_several(kept), "near-members")
     wanted = members.select(F.col("v").alias("_v")).distinct().join(texts.select("v", "id", "th", F.col("n").alias("_n")), F.col("v") == F.col("_v")).drop("_v")
     own = _keyed(docs).where(F.col("text").isNotNull())
-    candidates = written(spread_join(own, written(wanted, "near-wanted"), ["id", "th"], large=True).select("v", "text").dropDuplicates(["v"]), "near-candidates")
+    wanted = written(wanted, "near-wanted")
+    candidates = written(spread_join(_parted(own, wanted, ["id", "th"])[0], wanted, ["id", "th"], large=True).select("v", "text").dropDuplicates(["v"]), "near-candidates")
     alone = unshared(candidates, weights).withColumnRenamed("v", "_v")
     able = candidates.select("v").join(texts.select(F.col("v").alias("_t"), "w"), F.col("v") == F.col("_t")).drop("_t")
     able = able.join(alone, F.col("v") == F.col("_v"), "left").select(F.col("v").alias("_v"), "w", (F.col("w") - F.coalesce("u", F.lit(0.0))).alias("s"))
@@ -385,12 +401,16 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
 
 def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """docs packed: its rows with text with n, class_id, class_size and first of their (doc_id, text), and those without."""
-    found = classes(docs.select("doc_id", "text"), least)
+    """docs packed: its rows with text with n, class_id, class_size and first of their (doc_id, text), and those without. Rows that are a class alone do not move."""
+    found = classes(docs.select("doc_id", "text"), least).where("class_size > 1")
     f = found.select(F.col("id").alias("_i"), F.col("th").alias("_t"), F.col("n").alias("_rows"), F.col("n").alias("_n"), F.struct("class_id", "class_size", "first").alias("_k"))
     own = packed(docs, "doc_id", "text").withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")))
     has = own.where(F.col("text").isNotNull()).withColumn("_t", F.xxhash64("text"))
-    return spread_join(has, f, ["_i", "_t"], large=True), own.where(F.col("text").isNull())
+    some, alone = _parted(has, f, ["_i", "_t"])
+    one, single = F.lit(1).cast("long"), F.struct(F.col("_i").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("first"))
+    some = spread_join(some, f, ["_i", "_t"], how="left", large=True)
+    some = some.withColumns({"_rows": F.coalesce("_rows", one), "_k": F.coalesce("_k", single)})
+    return some.unionByName(alone.withColumns({"_rows": one, "_k": single})), own.where(F.col("text").isNull())
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -58,6 +58,25 @@ def test_near_dedup_query(spark, tmp_path):
     assert Counter(r.class_id for r in got if r.kept) == {c: 1 for c in sizes}
 
 
+def test_texts_alone_do_not_move(spark, monkeypatch):
+    """Rows without a partner keep out of the joins that move texts; what they are is told all the same."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(rng.choice(VOCABULARY, 30)) for _ in range(400)]
+    texts += [*texts[:20], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    moved, own = [], minhash.spread_join
+
+    def seen(left, *args, **more):
+        if "text" in left.columns:
+            moved.append(left.count())
+        return own(left, *args, **more)
+
+    monkeypatch.setattr(minhash, "spread_join", seen)
+    got = {r.doc_id: (r.class_id, r.class_size, r.is_first) for r in minhash.near_duplicates(docs).collect()}
+    assert len(moved) == 2 and all(n < 150 for n in moved)
+    assert got == {k: (k - 400, 2, False) if 400 <= k < 420 else (k, 1 + (k < 20), True) for k in range(422)}
+
+
 def test_near_dedup_of_a_large_group(spark):
     """A group of near copies with many edits each: hubs over several rounds and salts."""
     rng = np.random.default_rng(8)
