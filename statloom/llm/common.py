@@ -94,13 +94,18 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "_n
     """left joined with right on keys that are unique in right. n: how many rows of left a row of right meets (a column that goes).
 
     Rows of hot keys take their partner from a broadcast of fewer than HOT rows and are dealt by a hash of the whole row, so no
-    key gathers in one task. right must be a written table. Null keys meet nothing. large: right grows with the input, so it is
-    sorted and merged at every size and never broadcast.
+    key gathers in one task; without hot keys it is one join. right must be a written table. Null keys meet nothing. large: right
+    grows with the input, so it is sorted and merged at every size and never broadcast.
     """
-    total = right.agg(F.sum(n)).head()[0] or 0
+    total, most = right.agg(F.sum(n), F.max(n)).head()
+    limit = max((total or 0) / HOT, 1000)
     payload = [c for c in right.columns if c not in (*keys, n)]
     names = {c: f"_h_{c}" for c in (*keys, *payload)}
-    is_hot = F.col(n) > max(total / HOT, 1000)
+    is_hot = F.col(n) > limit
+    if (most or 0) <= limit:
+        only = right.select(*[F.col(c).alias(names[c]) for c in (*keys, *payload)])
+        both = left.join(only.hint("merge") if large else only, reduce(lambda a, b: a & b, [F.col(c) == F.col(names[c]) for c in keys]), how)
+        return both.select(*left.columns, *[F.col(names[c]).alias(c) for c in payload])
     hot = right.where(is_hot).select(*[F.col(c).alias(names[c]) for c in (*keys, *payload)], F.lit(True).alias("_hot"))
     cold = right.where(~is_hot).select(*[F.col(c).alias(f"_c_{c}") for c in (*keys, *payload)], F.lit(True).alias("_cold"))
     met = left.join(F.broadcast(hot), reduce(lambda a, b: a & b, [F.col(c) == F.col(names[c]) for c in keys]), "left")

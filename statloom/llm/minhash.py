@@ -48,6 +48,8 @@ MOST_HUBS = 1000
 #: Classes of shingles of the bound by classes.
 CLASSES = 128
 BLOCK = 1 << 18
+#: Links whose components one task finds; more take star rounds over tables. Both are exact.
+MOST_LINKS = 300_000
 #: The most rows of a sketch of keys, 64 bits each; keys beyond 8 for each row only let more rows pass it.
 MOST_MASKS = 1 << 17
 #: Bits of a shingle's hash; the others hold the row, of which a block has at most BLOCK.
@@ -257,12 +259,15 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, least: flo
     return both.select("a", "b", "ta", "tb").mapInArrow(step, "a bigint, b bigint")
 
 
-def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None, most: int = MOST_LINKS) -> DataFrame:
     """(v, c): every vertex of the links (a, b) but the least of its component, and that least one.
 
-    Large-star and small-star rounds, each written to the shared folder; edges stay as many as vertices after the first. With
-    `rounds` it stops early: c is then connected with v, but not always the least.
+    Up to `most` links are one task's work. More take large-star and small-star rounds, each written to the shared folder; edges
+    stay as many as vertices after the first. With `rounds` these stop early: c is then connected with v, but not always the least.
+    links must be written tables.
     """
+    if links.count() <= most:
+        return _joined(links)
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     edges, before = written(edges, "near-edges"), None
     while True:
@@ -285,6 +290,26 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         edges = written(small.where("a > b").distinct(), "near-edges")
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """components() in one task, without an exchange: every root takes the least root that it meets, until all that meet are one."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+        ids, ends = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(ids))
+        while (root[a] != root[b]).any():
+            low, at = np.minimum(root[a], root[b]), root.copy()
+            np.minimum.at(root, at[a], low)
+            np.minimum.at(root, at[b], low)
+            while (root != root[root]).any():
+                root = root[root]
+        k = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(ids[root[k]])], names=["v", "c"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(step, "v bigint, c bigint")
+
+
 def _parted(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows that may have one of keys (a written table), and rows that have none. A sketch of bits tells them apart; no row moves."""
     masks = min(MOST_MASKS, 1 << max(keys.count() // 8, 1).bit_length())
@@ -312,10 +337,9 @@ def _open(m: DataFrame, least: float) -> DataFrame:
     return written(spread_join(some, written(still.select("b", "_n"), "near-still"), ["b"]), "near-open")
 
 
-def _salted(m: DataFrame, hub: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Members and hubs with a column `salt`: a large bucket's members are dealt over several salts, and its hubs (hubs at most) stand at each of them."""
+def _salted(m: DataFrame, total: int, hub: DataFrame, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Members (total of them) and hubs with a column `salt`: a large bucket's members are dealt over several salts, and its hubs (hubs at most) stand at each of them."""
     sizes = m.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    total = m.count()
     large = max(total / HOT, 1000 / min(hubs, 10))
     hot = written(sizes.where(F.col("n") > large).select(F.col("b").alias("_hb"), F.ceil(F.col("n") / large).cast("int").alias("_k")), "near-hot")  # fewer than 10 * HOT buckets
     mine = m.join(F.broadcast(hot), F.col("b") == F.col("_hb"), "left").withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "v"), F.coalesce("_k", F.lit(1)))).drop("_hb", "_k")
@@ -359,7 +383,8 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     while True:
         m = members.withColumn("c", F.col("v")) if label is None else members.join(label.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("b", "v", "w", "s", F.coalesce("c", "v").alias("c"))
         m = _open(written(m, "near-labelled"), least)
-        if m.isEmpty():
+        total = m.count()
+        if not total:
             break
         if hubs == 1:
             hub = m.groupBy(F.col("b").alias("_b")).agg(F.min(F.struct(order.alias("o"), "v", "w", "s", "c")).alias("h")).select("_b", F.col("h.v").alias("h"), F.col("h.w").alias("hw"), F.col("h.s").alias("hs"), F.col("h.c").alias("hc"))
@@ -377,7 +402,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         # a pair that shares several buckets meets in the first of them, which stays open for it
         first = F.get("bands", (F.array_position(F.zip_with("bands", "hbands", lambda x, y: x == y), True) - 1).cast("int")) == F.col("b")
         shared = F.aggregate(F.zip_with("profile", "hprofile", lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda n, x: n + x)
-        mine, theirs = _salted(m, hub, hubs)
+        mine, theirs = _salted(m, total, hub, hubs)
         mine = mine.join(prints, F.col("v") == F.col("p")).drop("p")
         theirs = theirs.join(prints, F.col("h") == F.col("p")).drop("p").withColumnsRenamed({"bands": "hbands", "profile": "hprofile"})
         pairs = mine.join(theirs, (F.col("b") == F.col("_b")) & (F.col("salt") == F.col("_salt")) & later & (F.col("c") != F.col("hc")) & able(both) & first & able(shared))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from statloom.llm import html_extract, language_id, line_dedup, minhash, mixing, pii, quality_classifier
+from statloom.llm import common, html_extract, language_id, line_dedup, minhash, mixing, pii, quality_classifier
 from statloom.llm.common import table, written
 from statloom.llm.queries import QUERIES
 from tests.llm import brute
@@ -58,6 +58,34 @@ def test_near_dedup_query(spark, tmp_path):
     assert Counter(r.class_id for r in got if r.kept) == {c: 1 for c in sizes}
 
 
+def test_components_in_one_task(spark):
+    """Few links need no exchange, and their components are those of the star rounds."""
+    rng = np.random.default_rng(9)
+    ends = [*rng.integers(-(1 << 62), 1 << 62, 300).tolist(), *range(400)]
+    pairs = [(ends[i], ends[j]) for i, j in rng.integers(0, 700, (500, 2)) if i != j] + [(k, k + 1) for k in range(1000, 1400)] + [(5000, k) for k in range(5001, 5100)]
+    links = written(spark.createDataFrame(pairs, "a long, b long"), "t")
+    out = minhash.components(links)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.v: r.c for r in out.collect()}
+    assert got == {r.v: r.c for r in minhash.components(links, most=0).collect()}
+    assert got[1399] == 1000 and got[5099] == 5000 and 1000 not in got and len(got) > 700
+    assert minhash.components(links.where("a = b")).count() == 0
+
+
+def test_spread_join_without_hot_keys(spark):
+    """One join where no key is hot, two where some are, with the same rows."""
+    rows = [(k % 7 if k % 3 else None, k) for k in range(3000)]
+    left = spark.createDataFrame(rows, "a long, x long")
+    for k, n in ((0, 5), (1, 2000)):
+        right = written(spark.createDataFrame([(j, f"p{j}", n) for j in range(k, 5)], "a long, p string, _n long"), "t")
+        out, every = common.spread_join(left, right, ["a"]), common.spread_join(left, right, ["a"], how="left")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == (1 if n == 5 else 2) and ("_salt" in plan) == (n != 5)
+        want = sorted((a, x, f"p{a}") for a, x in rows if a is not None and k <= a < 5)
+        assert sorted(map(tuple, out.collect())) == want
+        assert every.count() == len(rows) and every.where("p IS NOT NULL").count() == len(want)
+
+
 def test_texts_alone_do_not_move(spark, monkeypatch):
     """Rows without a partner keep out of the joins that move texts; what they are is told all the same."""
     rng = np.random.default_rng(10)
