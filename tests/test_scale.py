@@ -14,3 +14,39 @@ def test_linkage_in_rounds_has_no_table_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(C, "distance_matrix", None)
     monkeypatch.setattr(C, "BLOCK", 8)
     assert rows(C.agglomerate(df, "complete", 4, most=20)) == want
+
+
+def _near(x, far):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    return (d < far) & ~np.eye(len(x), dtype=bool)
+
+
+def _least(near):
+    label = np.arange(len(near))
+    for _ in label:
+        label = np.array([min([label[i], *label[near[i]]]) for i in range(len(near))])
+    return label
+
+
+def test_dense_points_are_linked_without_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.uniform(0, 2, (120, 2)), rng.uniform(4, 9, (40, 2)), [[2.9, 1.0], [3.8, 1.0], [12, 12], [12, 12], [12.0, 13]], [[np.nan, 0], [np.nan, 0]])).round(2)
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(x)], "id long, point array<double>").unionByName(spark.createDataFrame([(500, None)], "id long, point array<double>"))
+    for far in (0.3, 1.0):
+        near = _near(x, far)
+        label = _least(near)
+        assert {r.id: r.cluster for r in C.threshold_clusters(df, far).collect()} == {**dict(enumerate(label.tolist())), 500: 500}
+        core = near.sum(1) >= 3
+        label = _least(near & core[:, None] & core[None])
+        want = {500: (-1, "noise")}
+        for i in range(len(x)):
+            own = label[near[i] & core]
+            want[i] = (label[i], "core") if core[i] else (own.min(), "border") if len(own) else (-1, "noise")
+        assert {r.id: (r.cluster, r.role) for r in C.dbscan(df, far, 3).collect()} == want
+    assert {(r.i, r.j) for r in C.within(df, 1.0).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+
+
+def test_what_grows_is_not_broadcast(spark):
+    df = spark.range(50).selectExpr("id", "array(double(id), 0D) point")
+    plan = C.within(df, 1.5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
