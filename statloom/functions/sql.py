@@ -27,7 +27,8 @@ FUNCTIONS = {
     "mean_of(x ARRAY<DOUBLE>)": ("DOUBLE", f"{_SUM.format('x', 'v')} / nullif({_KNOWN.format('x')}, 0)"),
     "norm_of(x ARRAY<DOUBLE>)": (
         DISTRIBUTION,
-        f"named_struct('data', x, 'n', bigint(size(x)), 'loc', mean_of(x), 'scale', {_SUM.format('x', '(v - mean_of(x)) * (v - mean_of(x))')} / nullif({_KNOWN.format('x')} - 1, 0))",
+        # the mean is a lambda's variable: written twice into the sum, it was computed anew for every value
+        f"transform(array(mean_of(x)), m -> named_struct('data', x, 'n', bigint(size(x)), 'loc', m, 'scale', {_SUM.format('x', '(v - m) * (v - m)')} / nullif({_KNOWN.format('x')} - 1, 0)))[0]",
     ),
     f"condition(a {DISTRIBUTION}, b {DISTRIBUTION})": (DISTRIBUTION, "a"),
     f"condition_data(x ARRAY<DOUBLE>, d {DISTRIBUTION})": (DISTRIBUTION, "named_struct('data', concat(coalesce(d.data, array()), x), 'n', d.n + size(x), 'loc', d.loc, 'scale', d.scale)"),
@@ -72,3 +73,20 @@ def register(spark: SparkSession) -> None:
 def distribution(x: Column) -> Column:
     """The aggregate without the data: struct(n, loc, scale); n counts nulls, the moments skip them. Bounded whatever the group's size."""
     return F.struct(F.count(F.lit(1)).alias("n"), F.avg(x).alias("loc"), F.var_samp(x).alias("scale"))
+
+
+def pooled(parts: Column) -> Column:
+    """struct(n, loc, scale) of the union of samples, by an array of struct(n, known, loc, scale); known: values without nulls."""
+    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "known")], *[F.lit(0.0).alias(c) for c in ("loc", "m2")])
+
+    def add(s, p):
+        known, d = s["known"] + p["known"], p["loc"] - s["loc"]
+        empty = p["known"] == 0
+        loc = F.when(empty, s["loc"]).otherwise(s["loc"] + d * p["known"] / known)
+        m2 = F.when(empty, s["m2"]).otherwise(s["m2"] + F.coalesce(p["scale"], F.lit(0.0)) * (p["known"] - 1) + d * d * s["known"] * p["known"] / known)
+        return F.struct((s["n"] + p["n"]).alias("n"), known.alias("known"), loc.alias("loc"), m2.alias("m2"))
+
+    def end(s):
+        return F.struct(s["n"].alias("n"), F.when(s["known"] > 0, s["loc"]).alias("loc"), F.when(s["known"] > 1, s["m2"] / (s["known"] - 1)).alias("scale"))
+
+    return F.aggregate(parts, start, add, end)

@@ -1,7 +1,12 @@
 """What must not grow with the square of the input, or through the driver."""
 
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
+
 
+from statloom.functions import sql
 from statloom.operators import cluster as C
 
 
@@ -50,3 +55,17 @@ def test_what_grows_is_not_broadcast(spark):
     df = spark.range(50).selectExpr("id", "array(double(id), 0D) point")
     plan = C.within(df, 1.5)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
+
+
+def test_norm_of_takes_time_in_proportion(spark):
+    sql.register(spark)
+    began = time.time()
+    d = spark.range(60_000).selectExpr("norm_of(collect_list(struct(double(id) v)).v) d").selectExpr("d.n", "d.loc", "d.scale").head()
+    assert time.time() - began < 20  # its square is 3.6e9 values
+    assert (d.n, d.loc) == (60_000, 29_999.5) and abs(d.scale / (60_000 * 60_001 / 12) - 1) < 1e-12
+
+
+def test_pooled_samples(spark):
+    parts = "array(named_struct('n', 3L, 'known', 2L, 'loc', 2D, 'scale', 2D), named_struct('n', 1L, 'known', 0L, 'loc', double(null), 'scale', double(null)), named_struct('n', 1L, 'known', 1L, 'loc', 8D, 'scale', double(null)))"
+    d = spark.range(1).select(F.expr(parts).alias("p")).select(sql.pooled(F.col("p")).alias("d")).head().d
+    assert (d.n, d.loc, d.scale) == (5, 4.0, 13.0)  # 1, 3, 8
