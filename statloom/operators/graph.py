@@ -159,13 +159,17 @@ class Graph:
 
 
 def markov_blankets(edges: DataFrame) -> DataFrame:
-    """(node, member, role) for all nodes of edges (parent, child): parents, children and children's other parents, by joins."""
+    """(node, member, role) for all nodes of edges (parent, child): parents, children and children's other parents, by joins.
+
+    Edges are dealt by their child once, which serves the distinct edges and the join; of two coparents only one order is shuffled.
+    """
+    edges = edges.select("parent", "child").repartition("child").distinct()
     parents = edges.select(F.col("child").alias("node"), F.col("parent").alias("member"), F.lit("parent").alias("role"))
     children = edges.select(F.col("parent").alias("node"), F.col("child").alias("member"), F.lit("child").alias("role"))
     a, b = edges.alias("a"), edges.alias("b")
-    co = a.join(b, (F.col("a.child") == F.col("b.child")) & (F.col("a.parent") != F.col("b.parent")))
-    coparents = co.select(F.col("a.parent").alias("node"), F.col("b.parent").alias("member"), F.lit("coparent").alias("role"))
-    return parents.unionByName(children).unionByName(coparents).distinct()
+    co = a.join(b.hint("merge"), (F.col("a.child") == F.col("b.child")) & (F.col("a.parent") < F.col("b.parent"))).select(F.col("a.parent").alias("p"), F.col("b.parent").alias("q")).distinct()
+    both = F.explode(F.array(F.struct(F.col("p").alias("node"), F.col("q").alias("member")), F.struct(F.col("q").alias("node"), F.col("p").alias("member"))))
+    return parents.unionByName(children).unionByName(co.select(both.alias("_b")).select("_b.*", F.lit("coparent").alias("role")))
 
 
 def metropolis(log_prob, start: list[float], steps: int, scale: float, seed: int = 0) -> np.ndarray:

@@ -59,7 +59,7 @@ WITH e AS (SELECT DISTINCT l_partkey AS parent, l_orderkey AS child FROM lineite
 SELECT child AS node, parent AS member, 'parent' AS role FROM e UNION SELECT parent, child, 'child' FROM e UNION SELECT a.parent, b.parent, 'coparent' FROM e a JOIN e b ON a.child = b.child AND a.parent <> b.parent""")
 def markov_blankets(spark, sf):
     """Parts are the parents of the orders that hold them; every line is an edge."""
-    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_orderkey").alias("child")).distinct()
+    edges = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_orderkey").alias("child"))
     return G.markov_blankets(edges)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import sql
 from statloom.operators import cluster as C
+from statloom.operators import graph as G
 
 
 def test_linkage_in_rounds_has_no_table_of_pairs(spark, monkeypatch):
@@ -69,3 +70,11 @@ def test_pooled_samples(spark):
     parts = "array(named_struct('n', 3L, 'known', 2L, 'loc', 2D, 'scale', 2D), named_struct('n', 1L, 'known', 0L, 'loc', double(null), 'scale', double(null)), named_struct('n', 1L, 'known', 1L, 'loc', 8D, 'scale', double(null)))"
     d = spark.range(1).select(F.expr(parts).alias("p")).select(sql.pooled(F.col("p")).alias("d")).head().d
     assert (d.n, d.loc, d.scale) == (5, 4.0, 13.0)  # 1, 3, 8
+
+
+def test_markov_blankets_shuffle_edges_once(spark):
+    edges = spark.createDataFrame([(1, 10), (2, 10), (1, 10), (2, 11), (1, 11), (None, 11)], "parent long, child long")
+    d = G.markov_blankets(edges)
+    assert sorted(map(tuple, d.where("node is not null and member is not null").collect())) == sorted([(10, 1, "parent"), (10, 2, "parent"), (11, 2, "parent"), (11, 1, "parent"), (1, 10, "child"), (2, 10, "child"), (2, 11, "child"), (1, 11, "child"), (1, 2, "coparent"), (2, 1, "coparent")])
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(child") <= 4 and "Exchange hashpartitioning(node" not in plan
