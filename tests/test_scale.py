@@ -78,3 +78,25 @@ def test_markov_blankets_shuffle_edges_once(spark):
     assert sorted(map(tuple, d.where("node is not null and member is not null").collect())) == sorted([(10, 1, "parent"), (10, 2, "parent"), (11, 2, "parent"), (11, 1, "parent"), (1, 10, "child"), (2, 10, "child"), (2, 11, "child"), (1, 11, "child"), (1, 2, "coparent"), (2, 1, "coparent")])
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(child") <= 4 and "Exchange hashpartitioning(node" not in plan
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "distance_pairs", None)
+    monkeypatch.setattr(C, "GROUP", 40)
+    x = np.random.default_rng(7).integers(0, 4, (90, 3)).astype(float)  # with equal distances and places
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(x)], "id long, point array<double>")
+    got = {}
+    for r in C.neighbours(df.where("id % 10 = 0"), df, 4).collect():
+        got[r.i, r["rank"]] = (r.j, r.dist)
+    for i in range(0, 90, 10):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        for k, j in enumerate([j for j in np.lexsort((np.arange(90), d)) if j != i][:4]):
+            assert got[i, k + 1] == (j, d[j])
+    assert len(got) == 36
+
+
+def test_matrix_and_centers_are_spread_and_compiled(spark):
+    df = spark.range(30).selectExpr("id", "array(double(id), 1D) point").coalesce(1)
+    assert C.distance_matrix(df).rdd.getNumPartitions() > 1
+    plan = C.nearest(df, "point", np.array([[1.0, 0.0], [3.0, 0.0]]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and C.nearest(df, "point", np.array([[1.0, 0.0], [3.0, 0.0]])).where("id = 2").head().cluster == 0
